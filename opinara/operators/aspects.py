@@ -16,6 +16,7 @@ from opinara import lexicons
 from opinara.functions.labels import title_case
 from opinara.functions.numbers import from_micro, half_even, micro_sum, percent
 from opinara.functions.text import ngrams
+from opinara.operators.preprocess import fetch_texts
 from opinara.operators.ranking import top_per_group
 
 Lexicon = Mapping[str, Sequence[str]]
@@ -162,16 +163,17 @@ def aspect_matrix(df: DataFrame, places: Sequence[str], lexicon: Lexicon = lexic
     )
 
 
-def aspect_samples(df: DataFrame, n: int = 3, sentiments: Sequence[str] = ("negative", "positive")) -> DataFrame:
+def aspect_samples(
+    df: DataFrame, n: int = 3, sentiments: Sequence[str] = ("negative", "positive"), raw: DataFrame | None = None
+) -> DataFrame:
     """The first ``n`` texts (by ``review_id``) per aspect and sentiment.
 
     Only ids are ranked; the texts of the few winners (aspects x sentiments x n rows) are fetched
-    afterwards by an id semi-join, so no review text is sorted or shuffled.
+    afterwards, so no review text is sorted or shuffled.
     """
     tagged = df.filter(F.col("sentiment").isin(list(sentiments)))
     ids = tagged.select(F.explode("aspects").alias("aspect"), "sentiment", "review_id")
     winners = top_per_group(ids, ["aspect", "sentiment"], [F.col("review_id")], n, rank="sample_rank")
-    texts = df.select("review_id", F.col("clean_text").alias("sample_text"))
-    return texts.join(F.broadcast(winners), "review_id").select(
-        "aspect", "sentiment", "sample_rank", "review_id", "sample_text"
+    return fetch_texts(winners, df, raw).select(
+        "aspect", "sentiment", "sample_rank", "review_id", F.col("clean_text").alias("sample_text")
     )

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import labels
-from opinara.functions.numbers import exact_mean, half_even, percent, share_of
+from opinara.functions.numbers import exact_mean, from_micro, half_even, micro_sum, percent, share_of
 from opinara.lexicons import SENTIMENTS
 from opinara.operators.ranking import exact_median
 
@@ -172,18 +170,26 @@ def query_progress(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.countDistinct("query").alias("queries"))
 
 
-def places_summary(df: DataFrame, order_by: Sequence[str] = ("review_id",)) -> DataFrame:
+def places_summary(df: DataFrame, order_by: str = "review_id") -> DataFrame:
     """Per place: count, mean rating, and the first non-null category and address.
 
-    ``min_by`` over the ordering column is a partial aggregate, so no group is sorted.
+    Rows first collapse to the few (place, category, address) combinations with hashed partial
+    aggregates; only those are searched for the earliest value.
     """
+    combos = df.filter(F.col("place_name").isNotNull()).groupBy("place_name", "place_category", "place_address").agg(
+        F.count("review_text").alias("_reviews"),
+        micro_sum(F.col("review_rating")).alias("_rating_sum"),
+        F.count("review_rating").alias("_rated"),
+        F.min(order_by).alias("_first"),
+    )
+
     def first_present(column: str) -> Column:
-        order = F.struct(*[F.col(c) for c in order_by])
-        return F.min_by(column, F.when(F.col(column).isNotNull(), order))
+        return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("_first")))
 
-    return _by_place(df).agg(
-        F.count("review_text").alias("total_reviews"),
-        half_even(exact_mean(F.col("review_rating")), 2).alias("avg_rating"),
+    mean = F.try_divide(from_micro(F.sum("_rating_sum")), F.sum("_rated").cast("double"))
+    return combos.groupBy("place_name").agg(
+        F.sum("_reviews").alias("total_reviews"),
+        half_even(mean, 2).alias("avg_rating"),
         first_present("place_category").alias("category"),
         first_present("place_address").alias("address"),
     ).orderBy(F.desc("total_reviews"), "place_name")

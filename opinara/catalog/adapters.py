@@ -6,11 +6,11 @@ below use frequent words of that text instead.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.operators import aspects, preprocess, sentiment
-from opinara.schemas import RAW_REVIEW
+from opinara.sources.readers import spread
 
 ASPECTS: dict[str, list[str]] = {
     "service": ["thor", "thea"], "price": ["thin", "thti"], "quality": ["thed", "thnt"],
@@ -62,8 +62,12 @@ def copied_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).withColumn("place_id", F.col("area"))
 
 
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.clean_reviews(spread(reviews(spark, sf_dir), "review_id"))
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preprocess.preprocess_reviews(reviews(spark, sf_dir), STOP_WORDS)
+    return preprocess.preprocess_reviews(spread(reviews(spark, sf_dir), "review_id"), STOP_WORDS)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,18 +95,20 @@ def raw_places(spark: SparkSession, sf_dir: str) -> DataFrame:
         "part", F.floor(F.col("turn") / TURNS_PER_RECORD)
     )
     user = F.col("role") == "user"
-    rating = (1 + F.col("turn") % 5).cast("double")
-    values = {
-        "Description": F.when(user, F.col("text")), "text": F.when(~user, F.col("text")),
-        "Rating": F.when(user, rating), "stars": F.when(~user, rating),
-        "Name": F.when(user, F.col("role")), "name": F.when(~user, F.col("role")),
-        "published_at": F.when(~user, F.concat(F.lit("turn "), F.col("turn").cast("string"))),
+    rating = (1 + F.col("turn") % 5).cast("string")
+    first = {"Description": F.col("text"), "Rating": rating, "Name": F.col("role")}
+    second = {
+        "text": F.col("text"), "stars": rating, "name": F.col("role"),
+        "published_at": F.concat(F.lit("turn "), F.col("turn").cast("string")),
     }
-    review = F.struct(*[
-        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RAW_REVIEW.fields
-    ])
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("turn"), user.alias("is_user"), review.alias("review"))))
-    # At most TURNS_PER_RECORD turns per group.
+
+    def as_map(fields: dict[str, Column]) -> Column:
+        return F.create_map(*[part for name, value in fields.items() for part in (F.lit(name), value)])
+
+    review = F.when(user, as_map(first)).otherwise(as_map(second))
+    # At most TURNS_PER_RECORD turns per group; a map cannot be compared, so only the turn is.
+    listed = F.collect_list(F.struct("turn", user.alias("is_user"), review.alias("review")))
+    ordered = F.array_sort(listed, lambda x, y: F.signum(x["turn"] - y["turn"]).cast("int"))
     grouped = turns.groupBy("conv_id", "part").agg(ordered.alias("turns"))
 
     def of(is_user: bool):

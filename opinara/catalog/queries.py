@@ -14,7 +14,7 @@ from opinara.functions import labels, text
 from opinara.functions.numbers import half_even
 from opinara.operators import (
     aspects, collection, compare, extract, growth, insights, keyphrases, keywords, merge, panels,
-    preprocess, sentiment, summaries, topics,
+    sentiment, summaries, topics,
 )
 from opinara.plans import export
 from opinara.plans.analysis import AnalysisPlan
@@ -161,7 +161,7 @@ _on("filter_options", a.scored, panels.filter_options)
 
 # ---- text --------------------------------------------------------------------------------------
 
-_on("clean_text", lambda s, d: preprocess.clean_reviews(a.reviews(s, d)), lambda df: df.select("review_id", "clean_text"))
+_on("clean_text", a.cleaned, lambda df: df.select("review_id", "clean_text"))
 _on("tokens", a.prepared, lambda df: df.select("review_id", F.array_join("tokens", " ").alias("tokens"), "token_count"))
 _on("preprocess", a.prepared, lambda df: df.select(
     "review_id", "clean_text", F.array_join("tokens", "|").alias("tokens"), "token_count", "word_count",
@@ -169,7 +169,7 @@ _on("preprocess", a.prepared, lambda df: df.select(
 _on("length_bucket", a.prepared, lambda df: df.groupBy(
     "review_length_bucket", labels.length_bucket_order(F.col("review_length_bucket")).alias("bucket_order")
 ).agg(F.count(F.lit(1)).alias("reviews")))
-_on("ngrams", lambda s, d: preprocess.clean_reviews(a.reviews(s, d)), lambda df: keywords.review_words(
+_on("ngrams", a.cleaned, lambda df: keywords.review_words(
     df, a.STOP_WORDS
 ).select("review_id", F.array_join(text.ngrams(F.col("words"), 2), "|").alias("bigrams"),
          F.size(text.ngrams(F.col("words"), 3)).alias("n_trigrams")))
@@ -183,14 +183,14 @@ _on("aspect_tags", a.analysed, lambda df: df.select(
 
 @query
 def lexicon_sentiment(spark, sf_dir):
-    cleaned = preprocess.clean_reviews(a.reviews(spark, sf_dir))
+    cleaned = a.cleaned(spark, sf_dir)
     rated = sentiment.lexicon_sentiment(cleaned, a.VALENCES, negators=a.NEGATORS, boosters=a.BOOSTERS)
     return rated.select("review_id", "sentiment", "sentiment_score", "sentiment_label_num")
 
 
 @query
 def model_sentiment(spark, sf_dir):
-    cleaned = preprocess.clean_reviews(a.reviews(spark, sf_dir))
+    cleaned = a.cleaned(spark, sf_dir)
 
     def load():
         # A stand-in for a model: label and score follow from the length of the text.
@@ -279,27 +279,23 @@ def top_reviews(spark, sf_dir):
 
 # ---- keywords and topics -----------------------------------------------------------------------
 
-def _cleaned(spark, sf_dir):
-    return preprocess.clean_reviews(a.reviews(spark, sf_dir))
-
-
 _on("word_freq", a.prepared, lambda df: keywords.word_frequencies(df, 50))
-_on("phrase_freq", _cleaned, lambda df: keywords.phrase_frequencies(df, a.STOP_WORDS))
-_on("global_keywords", _cleaned, lambda df: keywords.global_keywords(df, a.STOP_WORDS))
-_on("place_keywords", _cleaned, lambda df: keywords.place_keywords(df, a.STOP_WORDS))
-_on("compare_keywords", _cleaned, lambda df: keywords.compare_keywords(df, a.STOP_WORDS))
+_on("phrase_freq", a.cleaned, lambda df: keywords.phrase_frequencies(df, a.STOP_WORDS))
+_on("global_keywords", a.cleaned, lambda df: keywords.global_keywords(df, a.STOP_WORDS))
+_on("place_keywords", a.cleaned, lambda df: keywords.place_keywords(df, a.STOP_WORDS))
+_on("compare_keywords", a.cleaned, lambda df: keywords.compare_keywords(df, a.STOP_WORDS))
 _on("keyword_sentiment", a.scored, lambda df: keywords.keyword_sentiment(df, a.STOP_WORDS))
 _on("negative_keywords", a.scored,
     lambda df: panels.negative_keywords(keywords.keyword_sentiment(df, a.STOP_WORDS)))
-_on("topic_words", _cleaned, lambda df: topics.fit_topics(df, a.STOP_WORDS).topic_words())
-_on("topic_counts", _cleaned, lambda df: topics.fit_topics(df, a.STOP_WORDS).topic_counts())
+_on("topic_words", a.cleaned, lambda df: topics.fit_topics(df, a.STOP_WORDS).topic_words())
+_on("topic_counts", a.cleaned, lambda df: topics.fit_topics(df, a.STOP_WORDS).topic_counts())
 
 
 @query
 def mmr_keyphrases(spark, sf_dir):
     vectors = a.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     known = vectors.agg(F.count(F.lit(1))).scalar()
-    phrases = keyphrases.candidate_phrases(_cleaned(spark, sf_dir), a.STOP_WORDS)
+    phrases = keyphrases.candidate_phrases(a.cleaned(spark, sf_dir), a.STOP_WORDS)
 
     def nearest(table: DataFrame, number) -> DataFrame:
         # The test embeddings belong to no text, so a hash picks the vector of a phrase or review.

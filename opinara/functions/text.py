@@ -10,23 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# White space as the cleaning rules mean it (Unicode), where Java's \s is ASCII only.
-_WIDE_SPACE = r"\s\x1c-\x1f\x85\u1680\u2028\u2029"
-_ANY_SPACE = _WIDE_SPACE + r"\u00a0\u2000-\u200a\u202f\u205f\u3000"
+# White space as the cleaning rules mean it (Unicode).  Folding turns the characters that Java's \s
+# does not know into plain spaces, so the later rules can use \s.
+_ODD_SPACES = "\x1c\x1d\x1e\x1f\x85\u1680\u2028\u2029"
+_ANY_SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NOT_BLANK = f"[^{_ANY_SPACE}]"
-_INNER = f"[^{_WIDE_SPACE}]"
 
 # Characters that survive cleaning besides word characters and white space.
 _KEPT = (
     r".,!?;:'\"\-()&%$#@"
     r"\u0600-\u06ff\u0e00-\u0e7f\u4e00-\u9fff\u3040-\u309f\u30a0-\u30ff\uac00-\ud7af"
 )
-_URL = f"http{_INNER}+|www{_INNER}+|https{_INNER}+"
-# The whole run around an inner "@".  Anchoring at the start of the run and the possessive quantifier
-# keep this linear on long runs without spaces.
-_MAIL = f"(?<!{_INNER}){_INNER}[^@{_WIDE_SPACE}]*+@{_INNER}+"
-_DROPPED = rf"[^\p{{L}}\p{{N}}_{_WIDE_SPACE}{_KEPT}]"
-_SPACE_RUN = f"[{_WIDE_SPACE}]+"
+_URL = r"http\S+|www\S+|https\S+"
+_DROPPED = rf"[^\p{{L}}\p{{N}}_\s{_KEPT}]"
+# The same for pure ASCII text, listed one by one, which Java tests with a bit set.
+_DROPPED_ASCII = "[" + "".join(
+    f"\\x{code:02x}" for code in range(128)
+    if not (chr(code).isalnum() or chr(code).isspace() or chr(code) in "_.,!?;:'\"-()&%$#@")
+) + "]"
 _WORD = r"[\p{L}\p{N}_]{2,}"
 
 # Blocks whose NFKD form is reached by replacing single characters: Latin, Cyrillic, punctuation,
@@ -72,32 +73,38 @@ def _escape(char: str) -> str:
 
 
 _BLOCKS = "".join(f"{_escape(chr(a))}-{_escape(chr(b))}" for a, b in _SIMPLE_BLOCKS)
+# The first class rejects almost every character of common text, so the long one is rarely tried.
 _NEEDS_NORMALISER = (
-    rf"[^\x00-\x7f\x{{a0}}{_BLOCKS}]|[{''.join(map(_escape, _FOLD_HARD))}]"
+    r"[[^\x00-\xa7\xbf-\x{131}\x{4e00}-\x{9fff}]&&"
+    rf"[[^\xa0{_BLOCKS}][{''.join(map(_escape, _FOLD_HARD))}]]]"
 )
 _NON_ASCII = r"[^\x00-\x7f]"
+_FOLDABLE = r"[^\x00-\x1b\x20-\x7f]"
 
 
 def _nfkd(text: Column) -> Column:
+    spaces = {ord(c): " " for c in _ODD_SPACES}
+
     # Defined inside so that it is shipped by value: executors need not have this package.
     def normalise(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+        return texts.map(lambda t: unicodedata.normalize("NFKD", t).translate(spaces), na_action="ignore")
 
     return F.pandas_udf(normalise, T.StringType())(text)
 
 
 def compatibility_fold(text: Column) -> Column:
-    """NFKD up to Latin combining marks (which cleaning drops).
+    """NFKD up to Latin combining marks (which cleaning drops), with plain spaces.
 
     Spark has no normaliser.  ASCII passes through, simple scripts use ``translate``, and only the
     remaining rows send text to the Arrow UDF; the other rows hand it a NULL.
     """
-    hard = text.rlike(_NEEDS_NORMALISER)
-    return (
-        F.when(hard, _nfkd(F.when(hard, text)))
-        .when(text.rlike(_NON_ASCII), F.translate(text, "\u00a0" + _FOLD_FROM, " " + _FOLD_TO))
-        .otherwise(text)
-    )
+    foldable = text.rlike(_FOLDABLE)
+    hard = F.when(foldable, F.when(text.rlike(_NEEDS_NORMALISER), text))
+    spaces = "\u00a0" + _ODD_SPACES
+    simple = F.when(
+        foldable, F.translate(text, spaces + _FOLD_FROM, " " * len(spaces) + _FOLD_TO)
+    ).otherwise(text)
+    return F.coalesce(_nfkd(hard), simple)
 
 
 def not_blank(text: Column) -> Column:
@@ -109,11 +116,29 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{_ANY_SPACE}]+|[{_ANY_SPACE}]+$", "")
 
 
-def clean_text(text: Column) -> Column:
-    """Fold, drop URLs, e-mail addresses and symbols, and collapse white space; never NULL."""
-    folded = compatibility_fold(F.coalesce(text, F.lit("")))
-    bare = F.regexp_replace(F.regexp_replace(folded, _URL, ""), _MAIL, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, _DROPPED, ""), _SPACE_RUN, " "))
+def clean_folded(folded: Column) -> Column:
+    """Drop URLs, e-mail addresses and symbols from folded text, and collapse white space.
+
+    Every rule runs only on texts that can contain what it removes.
+    """
+    urls = F.contains(folded, F.lit("http")) | F.contains(folded, F.lit("www"))
+    bare = F.when(urls, F.regexp_replace(folded, _URL, "")).otherwise(folded)
+    # An "@" with something on both sides marks the whole run between spaces.
+    kept_runs = F.filter(
+        F.split(bare, r"\s+"), lambda run: ~F.locate("@", run, 2).between(F.lit(1), F.char_length(run) - 1)
+    )
+    bare = F.when(F.contains(folded, F.lit("@")), F.array_join(kept_runs, " ")).otherwise(bare)
+    kept = F.when(folded.rlike(_NON_ASCII), F.regexp_replace(bare, _DROPPED, "")).otherwise(
+        F.regexp_replace(bare, _DROPPED_ASCII, "")
+    )
+    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+
+
+def with_clean_text(df: DataFrame, source: str, target: str = "clean_text") -> DataFrame:
+    """Add the cleaned form of a text column; never NULL."""
+    given = F.coalesce(F.col(source), F.lit(""))
+    folded = with_computed(df, _folded=compatibility_fold(given))
+    return with_computed(folded, **{target: clean_folded(F.col("_folded"))}).drop("_folded")
 
 
 def words(text: Column, stop_words: Sequence[str] = ()) -> Column:
@@ -125,9 +150,14 @@ def words(text: Column, stop_words: Sequence[str] = ()) -> Column:
 
 def tokens(text: Column, stop_words: Sequence[str]) -> Column:
     """``words`` without all-digit ones."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(_WORD), 0)
     stop = list(stop_words)
-    return F.filter(found, lambda w: ~w.isin(stop) & ~w.rlike(r"^\p{Nd}+$"))
+
+    def kept(word: Column) -> Column:
+        # Lower-case ASCII words sort between these bounds and cannot start with a digit.
+        maybe_digits = (word < ":") | (word > "{")
+        return ~word.isin(stop) & ~(maybe_digits & word.rlike(r"^\p{Nd}+$"))
+
+    return F.filter(words(text), kept)
 
 
 def ngrams(items: Column, n: int) -> Column:

@@ -33,13 +33,18 @@ def first_text(*candidates: Column) -> Column:
 
 
 def _reviews_of(df: DataFrame, name: str) -> Column:
+    """The review array of a column given as maps, as structs or as JSON text; never NULL."""
+    nothing = F.array().cast(RAW_REVIEWS)
     if name not in df.columns:
-        return F.array().cast(RAW_REVIEWS)
-    column = F.col(name)
-    if isinstance(df.schema[name].dataType, T.StringType):
-        # Arrays may arrive as JSON text; malformed text yields NULL and is skipped.
+        return nothing
+    column, kind = F.col(name), df.schema[name].dataType
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        column = F.to_json(column)
+        kind = T.StringType()
+    if isinstance(kind, T.StringType):
+        # Malformed text yields NULL and is skipped.
         column = F.from_json(column, RAW_REVIEWS)
-    return F.coalesce(column, F.array().cast(RAW_REVIEWS))
+    return F.coalesce(column, nothing)
 
 
 def _optional(df: DataFrame, name: str, default: Column) -> Column:
@@ -70,16 +75,23 @@ def explode_reviews(places: DataFrame, order_by: Sequence[Column | str] = ()) ->
         ).alias("pos", "r"),
     )
     zero = F.lit(0.0)
-    return exploded.select(
+
+    def field(key: str) -> Column:
+        return F.try_element_at("r", F.lit(key))
+
+    def number(key: str) -> Column:
+        return field(key).try_cast("double")
+
+    return exploded.filter(F.col("r").isNotNull()).select(
         "place_seq", "pos", "place_name", "place_id", "place_rating", "place_category", "place_address",
-        first_text(F.col("r.Description"), F.col("r.text"), F.col("r.text_original"), F.col("r.text_translated"))
+        first_text(field("Description"), field("text"), field("text_original"), field("text_translated"))
         .alias("review_text"),
-        F.coalesce(F.nullif("r.Rating", zero), F.nullif("r.stars", zero), "r.rating_float", zero)
+        F.coalesce(F.nullif(number("Rating"), zero), F.nullif(number("stars"), zero), number("rating_float"), zero)
         .alias("review_rating"),
-        F.coalesce(first_text(F.col("r.When")), "r.published_at", F.lit("")).alias("review_date"),
-        F.coalesce(first_text(F.col("r.Name")), "r.name", F.lit("")).alias("reviewer_name"),
-        F.coalesce("r.photos_count", F.lit(0).cast("long")).alias("reviewer_photos"),
-        F.coalesce("r.likes_count", F.lit(0).cast("long")).alias("review_likes"),
+        F.coalesce(first_text(field("When")), field("published_at"), F.lit("")).alias("review_date"),
+        F.coalesce(first_text(field("Name")), field("name"), F.lit("")).alias("reviewer_name"),
+        F.coalesce(number("photos_count"), zero).cast("long").alias("reviewer_photos"),
+        F.coalesce(number("likes_count"), zero).cast("long").alias("review_likes"),
     ).filter(not_blank(F.col("review_text")))
 
 

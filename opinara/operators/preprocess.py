@@ -14,7 +14,7 @@ MIN_REVIEW_LENGTH = 5
 
 def clean_reviews(df: DataFrame, min_length: int = MIN_REVIEW_LENGTH) -> DataFrame:
     """Add ``clean_text`` and drop reviews shorter than ``min_length`` code points after cleaning."""
-    cleaned = text.with_computed(df, clean_text=text.clean_text(F.col("review_text")))
+    cleaned = text.with_clean_text(df, "review_text")
     return cleaned.filter(F.char_length("clean_text") >= min_length)
 
 
@@ -40,4 +40,4 @@ def fetch_texts(winners: DataFrame, df: DataFrame, raw: DataFrame | None = None)
     if raw is None:
         return df.select("review_id", "place_name", "clean_text").join(F.broadcast(winners), "review_id")
     rows = raw.select("review_id", "place_name", "review_text").join(F.broadcast(winners), "review_id")
-    return text.with_computed(rows, clean_text=text.clean_text(F.col("review_text"))).drop("review_text")
+    return text.with_clean_text(rows, "review_text").drop("review_text")

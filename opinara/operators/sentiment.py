@@ -39,9 +39,8 @@ def _labelled(df: DataFrame, total: Column) -> DataFrame:
 def token_sentiment(df: DataFrame, valences: Mapping[str, float] = lexicons.VALENCES) -> DataFrame:
     """Sum the valences of ``tokens``, without context rules."""
     value = dictionary(valences)
-    total = F.aggregate(
-        F.col("tokens"), F.lit(0.0), lambda acc, word: acc + F.coalesce(value(word), F.lit(0.0))
-    )
+    hits = F.filter("tokens", lambda word: word.isin(list(valences)))
+    total = F.aggregate(hits, F.lit(0.0), lambda acc, word: acc + F.coalesce(value(word), F.lit(0.0)))
     return _labelled(df, total)
 
 

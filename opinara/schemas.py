@@ -9,14 +9,12 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
-# One element of the two review arrays.  Two dialects of the same record are mixed in the wild, so
-# every field is nullable and the extractor picks the first usable one.
-RAW_REVIEW = _struct(
-    ("Description", _S), ("text", _S), ("text_original", _S), ("text_translated", _S),
-    ("Rating", _D), ("stars", _D), ("rating_float", _D),
-    ("When", _S), ("published_at", _S), ("Name", _S), ("name", _S),
-    ("photos_count", _L), ("likes_count", _L),
-)
+# One element of the two review arrays, keyed by field name.  Two dialects of the record are mixed in
+# the wild, with names that differ only in case (``Name``, ``name``); map keys are case-sensitive
+# whatever the session says.  The extractor casts the fields it uses:
+#   Description, text, text_original, text_translated, When, published_at, Name, name  (text)
+#   Rating, stars, rating_float  (double)    photos_count, likes_count  (long)
+RAW_REVIEW = T.MapType(_S, _S)
 RAW_REVIEWS = T.ArrayType(RAW_REVIEW)
 
 RAW_PLACES = _struct(

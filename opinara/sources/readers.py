@@ -65,6 +65,18 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return kept.select(F.trim("value").alias("query"), "position")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a small scan that sits in a few large row groups.
+
+    A scan with at least two splits per core (anything of size on a cluster) is returned as it is,
+    so no large table is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def first_existing(spark: SparkSession, *paths: str) -> str | None:
     """The first path that Spark's file system can see."""
     jvm = spark._jvm

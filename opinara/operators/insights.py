@@ -54,7 +54,8 @@ def complaint_keywords(df: DataFrame, top_n: int = 15, min_reviews: int = MIN_NE
     counts = pairs.select("aspect", F.explode("tokens").alias("token")).groupBy("aspect", "token").agg(
         F.count(F.lit(1)).alias("occurrences")
     )
-    enough = negative.agg(F.count(F.lit(1))).scalar() >= min_reviews
+    # The limit lets every task stop after a few rows.
+    enough = negative.limit(min_reviews).agg(F.count(F.lit(1))).scalar() >= min_reviews
     ranked = top_per_group(counts, ["aspect"], [F.desc("occurrences"), F.col("token")], top_n)
     return ranked.filter(enough)
 

@@ -21,7 +21,10 @@ def spread_join(
     ``big`` is salted by a hash of ``spread_by`` and every row of ``small`` is repeated once per
     salt.  Whether ``small`` is broadcast instead is left to Spark, which knows its size.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"))
+    # Declared non-null, so that no null filter on the salt is pushed below an exchange and keeps it
+    # from being reused.
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"), F.lit(0))
+    salted = big.withColumn("_salt", salt)
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
 
@@ -38,10 +41,10 @@ def _grams(sizes: Sequence[int]) -> Column:
 def term_counts(word_table: DataFrame, sizes: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, review_id, term, tf).
 
-    The reviews are shuffled once as compact word arrays; counting the terms of a review and any
-    later window over ``review_id`` then need no further shuffle.
+    With ``word_table`` partitioned by ``review_id`` (as compact word arrays), neither the count nor a
+    later window over ``review_id`` needs another shuffle.
     """
-    grams = word_table.repartition("review_id").select(*keys, "review_id", F.explode(_grams(sizes)).alias("term"))
+    grams = word_table.select(*keys, "review_id", F.explode(_grams(sizes)).alias("term"))
     return grams.groupBy(*keys, "review_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -94,16 +97,18 @@ def tfidf_keywords(
     table = df
     for key in keys:
         table = table.filter(F.col(key).isNotNull())
-    counts = term_counts(review_words(table, stop_words, keys), sizes, keys)
+    # One exchange of the word arrays serves the group sizes, the vocabulary and the weights.  The
+    # count looks at the arrays, which keeps the column and thereby the exchange the same.
+    word_table = review_words(table, stop_words, keys).repartition("review_id")
+    reviews = F.count(F.when(F.size("words") >= 0, 1))
+    counts = term_counts(word_table, sizes, keys)
     stats = counts.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     frequent = stats.filter(F.col("df") >= min_df)
     if keys:
-        sizes_of = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("reviews")).filter(
-            F.col("reviews") >= min_reviews
-        )
+        sizes_of = word_table.groupBy(*keys).agg(reviews.alias("reviews")).filter(F.col("reviews") >= min_reviews)
         frequent = spread_join(frequent, sizes_of, keys, ["term"])
     else:
-        frequent = frequent.withColumn("reviews", table.agg(F.count(F.lit(1)).alias("n")).scalar())
+        frequent = frequent.withColumn("reviews", word_table.agg(reviews).scalar())
     frequent = frequent.filter(F.col("df") <= F.col("reviews") * max_df)
     vocabulary = top_per_group(
         frequent, keys, [F.desc("total"), F.col("term")], max_features, rank="_rank", spread_by=["term"]

@@ -41,8 +41,12 @@ class TopicModel:
 
     def topic_distribution(self) -> DataFrame:
         """(review_id, distribution, dominant_topic)."""
-        scored = self.model.transform(self.vectors).withColumn(
-            "distribution", vector_to_array("topicDistribution")
+        k = self.model.getK()
+        shares = vector_to_array("topicDistribution")
+        # A review without a vocabulary term gets zeros from Spark; it belongs to all topics alike.
+        uniform = F.array_repeat(F.lit(1.0 / k), k)
+        scored = self.model.transform(self.vectors).select("review_id", shares.alias("shares")).withColumn(
+            "distribution", F.when(F.array_max("shares") > 0, F.col("shares")).otherwise(uniform)
         )
         best = F.array_position("distribution", F.array_max("distribution"))
         return scored.select("review_id", "distribution", F.concat(F.lit("topic_"), best).alias("dominant_topic"))

@@ -66,6 +66,10 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.clean_reviews(spread(reviews(spark, sf_dir), "review_id"))
 
 
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.measure_reviews(spread(reviews(spark, sf_dir), "review_id"))
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.preprocess_reviews(spread(reviews(spark, sf_dir), "review_id"), STOP_WORDS)
 

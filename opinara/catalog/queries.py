@@ -166,7 +166,7 @@ _on("tokens", a.prepared, lambda df: df.select("review_id", F.array_join("tokens
 _on("preprocess", a.prepared, lambda df: df.select(
     "review_id", "clean_text", F.array_join("tokens", "|").alias("tokens"), "token_count", "word_count",
     "review_length_bucket"))
-_on("length_bucket", a.prepared, lambda df: df.groupBy(
+_on("length_bucket", a.measured, lambda df: df.groupBy(
     "review_length_bucket", labels.length_bucket_order(F.col("review_length_bucket")).alias("bucket_order")
 ).agg(F.count(F.lit(1)).alias("reviews")))
 _on("ngrams", a.cleaned, lambda df: keywords.review_words(
@@ -203,9 +203,9 @@ def model_sentiment(spark, sf_dir):
 
 # ---- aggregates --------------------------------------------------------------------------------
 
-_on("review_stats", a.prepared, summaries.review_stats)
-_on("rating_distribution", a.prepared, summaries.rating_distribution)
-_on("places_ranked", a.prepared, lambda df: summaries.places_ranked(df).withColumn(
+_on("review_stats", a.measured, summaries.review_stats)
+_on("rating_distribution", a.measured, summaries.rating_distribution)
+_on("places_ranked", a.measured, lambda df: summaries.places_ranked(df).withColumn(
     "avg_rating", half_even(F.col("avg_rating"), 6)))
 _on("sentiment_summary", a.scored, summaries.sentiment_summary)
 _on("labelled_summary", a.labelled, summaries.sentiment_summary)
@@ -214,11 +214,11 @@ _on("compare_sentiment", a.scored, summaries.compare_sentiment)
 _on("sentiment_share", a.scored, summaries.sentiment_share)
 _on("rating_sentiment", a.scored, summaries.rating_sentiment)
 _on("place_sentiment_top20", a.scored, summaries.place_sentiment_top)
-_on("rating_by_place", a.prepared, summaries.rating_by_place)
+_on("rating_by_place", a.measured, summaries.rating_by_place)
 _on("net_health", a.scored, summaries.net_health)
 _on("dataset_stats", a.reviews, summaries.dataset_stats)
 _on("top_places", a.reviews, summaries.top_places)
-_on("top_places_volume", a.prepared, summaries.top_places_by_volume)
+_on("top_places_volume", a.measured, summaries.top_places_by_volume)
 _on("batch_stats", a.reviews, summaries.batch_stats)
 _on("query_progress", a.query_log, summaries.query_progress)
 _on("aspect_summary", a.analysed, lambda df: aspects.aspect_summary(df, a.ASPECTS))

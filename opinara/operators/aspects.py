@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from opinara import lexicons
 from opinara.functions.labels import title_case
 from opinara.functions.numbers import from_micro, half_even, micro_sum, percent
-from opinara.functions.text import ngrams
+from opinara.functions.text import ngrams, with_computed
 from opinara.operators.preprocess import fetch_texts
 from opinara.operators.ranking import top_per_group
 
@@ -37,7 +37,7 @@ def tag_aspects(df: DataFrame, lexicon: Lexicon = lexicons.ASPECTS, *, match_phr
         F.when(F.arrays_overlap("_hits", F.array(*[F.lit(w) for w in words])), F.lit(aspect))
         for aspect, words in lexicon.items()
     ]
-    tagged = hits.withColumn("aspects", F.array_compact(F.array(*names)))
+    tagged = with_computed(hits, aspects=F.array_compact(F.array(*names)))
     return tagged.withColumn("aspects_mentioned", F.size("aspects")).drop("_hits")
 
 

@@ -50,9 +50,13 @@ def complaint_aspects(
 def complaint_keywords(df: DataFrame, top_n: int = 15, min_reviews: int = MIN_NEGATIVE) -> DataFrame:
     """The most frequent tokens of each aspect's negative reviews."""
     negative = df.filter(F.col("sentiment") == "negative")
-    pairs = negative.filter(F.size("aspects") > 0).select("tokens", F.explode("aspects").alias("aspect"))
-    counts = pairs.select("aspect", F.explode("tokens").alias("token")).groupBy("aspect", "token").agg(
-        F.count(F.lit(1)).alias("occurrences")
+    # Tokens are counted per set of aspects first, so a review is not repeated for each of its aspects.
+    per_set = (
+        negative.filter(F.size("aspects") > 0).select("aspects", F.explode("tokens").alias("token"))
+        .groupBy("aspects", "token").agg(F.count(F.lit(1)).alias("n"))
+    )
+    counts = per_set.select(F.explode("aspects").alias("aspect"), "token", "n").groupBy("aspect", "token").agg(
+        F.sum("n").alias("occurrences")
     )
     # The limit lets every task stop after a few rows.
     enough = negative.limit(min_reviews).agg(F.count(F.lit(1))).scalar() >= min_reviews

@@ -54,13 +54,15 @@ def document_frequencies(word_table: DataFrame, sizes: Sequence[int]) -> DataFra
     Sorting the terms inside the row marks the first occurrence, so one partially aggregated shuffle
     of the terms is enough.
     """
-    ordered = word_table.select(F.array_sort(_grams(sizes)).alias("_terms"))
+    ordered = word_table.select(F.sort_array(_grams(sizes)).alias("_terms"))
     marked = F.zip_with(
         F.col("_terms"),
         F.concat(F.array(F.lit(None).cast("string")), F.slice("_terms", F.lit(1), F.greatest(F.size("_terms") - 1, F.lit(0)))),
         lambda term, before: F.struct(term.alias("term"), F.when(term.eqNullSafe(before), 0).otherwise(1).alias("first")),
     )
-    rows = ordered.filter(F.size("_terms") > 0).select(F.inline(marked))
+    # An empty review leaves one row without a term.  (Filtering on the array instead would be pushed
+    # down and compute every n-gram twice.)
+    rows = ordered.select(F.inline(marked)).filter(F.col("term").isNotNull())
     return rows.groupBy("term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("total"))
 
 

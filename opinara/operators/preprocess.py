@@ -18,19 +18,24 @@ def clean_reviews(df: DataFrame, min_length: int = MIN_REVIEW_LENGTH) -> DataFra
     return cleaned.filter(F.char_length("clean_text") >= min_length)
 
 
-def preprocess_reviews(
-    df: DataFrame, stop_words: Sequence[str], min_length: int = MIN_REVIEW_LENGTH
-) -> DataFrame:
-    """Clean, tokenise and measure every review."""
+def measure_reviews(df: DataFrame, min_length: int = MIN_REVIEW_LENGTH) -> DataFrame:
+    """Clean and count words, for summaries that need no tokens."""
     return (
         clean_reviews(df, min_length)
-        .withColumn("tokens", text.tokens(F.col("clean_text"), stop_words))
-        .withColumn("token_count", F.size("tokens"))
         .withColumn("word_count", F.size(F.split("clean_text", " ")))
         .withColumn("review_length_bucket", labels.length_bucket(F.col("word_count")))
     )
 
 
+def preprocess_reviews(
+    df: DataFrame, stop_words: Sequence[str], min_length: int = MIN_REVIEW_LENGTH
+) -> DataFrame:
+    """Clean, measure and tokenise every review."""
+    measured = measure_reviews(df, min_length)
+    tokenised = text.with_computed(measured, tokens=text.tokens(F.col("clean_text"), stop_words))
+    return tokenised.withColumn("token_count", F.size("tokens"))
+
+
 def fetch_texts(winners: DataFrame, df: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """Attach ``place_name`` and ``clean_text`` to a handful of ranked ``review_id`` rows.
 

@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.numbers import half_even
 from opinara.functions.text import ngrams
-from opinara.operators.keywords import review_words
+from opinara.operators.keywords import document_frequencies, review_words
 
 
 @dataclass(frozen=True)
@@ -58,20 +58,23 @@ class TopicModel:
 
 def fit_topics(
     df: DataFrame, stop_words: Sequence[str], *, n_topics: int = 5, max_features: int = 3000,
-    min_df: float = 3.0, max_df: float = 0.8, iterations: int = 20, seed: int = 42,
+    min_df: int = 3, max_df: float = 0.8, iterations: int = 20, seed: int = 42,
 ) -> TopicModel | None:
-    """Fit an online LDA on (1, 2)-gram counts; None when there are fewer than ten reviews.
+    """Fit an online LDA on (1, 2)-gram counts; None below ten reviews or without a usable term.
 
+    The vocabulary is the only thing collected: at most ``max_features`` terms, ties in term order.
     The word vectors are reused by every iteration, so they are persisted (spilling to disk).
     """
     if df.limit(10).count() < 10:
         return None
-    terms = review_words(df, stop_words).select(
-        "review_id", F.concat("words", ngrams(F.col("words"), 2)).alias("terms")
-    )
-    counter = CountVectorizer(
-        inputCol="terms", outputCol="features", vocabSize=max_features, minDF=min_df, maxDF=max_df
-    ).fit(terms)
+    table = review_words(df, stop_words)
+    reviews = table.agg(F.count(F.lit(1)).cast("double")).scalar()
+    kept = document_frequencies(table, [1, 2]).filter((F.col("df") >= min_df) & (F.col("df") <= reviews * max_df))
+    vocabulary = [row.term for row in kept.orderBy(F.desc("total"), "term").limit(max_features).select("term").collect()]
+    if not vocabulary:
+        return None
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="features")
+    terms = table.select("review_id", F.concat("words", ngrams(F.col("words"), 2)).alias("terms"))
     vectors = counter.transform(terms).select("review_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
     lda = LDA(k=n_topics, seed=seed, optimizer="online", maxIter=iterations)
-    return TopicModel(lda.fit(vectors), counter.vocabulary, vectors)
+    return TopicModel(lda.fit(vectors), vocabulary, vectors)

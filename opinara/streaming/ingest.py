@@ -67,7 +67,12 @@ def start_merge(
 ) -> StreamingQuery:
     """Merge a review stream into the deduplicated history until nothing is left to read."""
     def merge(batch: DataFrame, _epoch: int) -> None:
-        merge_batch(batch, sink, order_by, buckets)
+        # Read twice: once for the touched buckets, once for the rows.
+        batch.persist()
+        try:
+            merge_batch(batch, sink, order_by, buckets)
+        finally:
+            batch.unpersist()
 
     return (
         reviews.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -41,12 +41,9 @@ def test_no_cross_join(spark, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = _plan(QUERIES["global_filter"](spark, SF_DIR))
-    pushed = re.search(r"PushedFilters: \[([^\]]*)\]", plan).group(1)
-    assert "In(source" in pushed and "lang" in pushed
-    assert "struct<doc_id:bigint,source:string>" in _plan(QUERIES["top_places"](spark, SF_DIR)).replace(
-        "struct<source:string>", "struct<doc_id:bigint,source:string>"
-    )
+    pushed = re.search(r"PushedFilters: (.*)", _plan(QUERIES["global_filter"](spark, SF_DIR))).group(1)
+    assert "In(source" in pushed
+    assert "ReadSchema: struct<source:string>" in _plan(QUERIES["top_places"](spark, SF_DIR))
 
 
 def test_row_work_has_no_shuffle(spark):

@@ -35,6 +35,11 @@ def exact_mean(value: Column) -> Column:
     return F.try_divide(from_micro(micro_sum(value)), F.count(value).cast("double"))
 
 
+def whole_mean(value: Column) -> Column:
+    """Aggregate: mean of a whole-number column from its exact sum (no scaling, so no overflow)."""
+    return F.try_divide(F.sum(value.cast("long")).cast("double"), F.count(value).cast("double"))
+
+
 def share_of(condition: Column) -> Column:
     """Aggregate: percentage of all rows (NULL conditions count as false) that satisfy it."""
     return percent(F.count(F.when(condition, 1)), F.count(F.lit(1)))

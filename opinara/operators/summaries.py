@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions import labels
-from opinara.functions.numbers import exact_mean, from_micro, half_even, micro_sum, percent, share_of
+from opinara.functions.numbers import exact_mean, from_micro, half_even, micro_sum, percent, share_of, whole_mean
 from opinara.lexicons import SENTIMENTS
 from opinara.operators.ranking import exact_median
 
@@ -25,7 +25,7 @@ def review_stats(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_reviews"),
         F.countDistinct("place_name").alias("total_places"),
         half_even(exact_mean(F.col("review_rating")), 2).alias("avg_rating"),
-        half_even(exact_mean(F.col("word_count")), 1).alias("avg_word_count"),
+        half_even(whole_mean(F.col("word_count")), 1).alias("avg_word_count"),
     )
 
 
@@ -60,7 +60,7 @@ def compare_sentiment(df: DataFrame) -> DataFrame:
     """``sentiment_summary`` plus the label mean and the health score of the rounded shares."""
     base = _by_place(df).agg(
         *_sentiment_measures(),
-        half_even(exact_mean(F.col("sentiment_label_num")), 2).alias("sentiment_label_avg"),
+        half_even(whole_mean(F.col("sentiment_label_num")), 2).alias("sentiment_label_avg"),
     )
     health = F.col("positive_pct") * 0.6 + (100 - F.col("negative_pct")) * 0.4
     return base.withColumn("sentiment_health_score", half_even(health, 1)).orderBy(

@@ -416,7 +416,7 @@ def stream_status(spark, sf_dir):
 # ---- everything --------------------------------------------------------------------------------
 
 @query
-def pipeline(spark, sf_dir):
+def analysis_plan(spark, sf_dir):
     """Row counts of every result of the whole analysis."""
     plan = AnalysisPlan(
         stop_words=a.STOP_WORDS, aspects=a.ASPECTS, sentiment_method="tokens",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, mixing, quality, sharding
+from opinara.llm import bpe, licences, mixing, oracle, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -86,3 +86,35 @@ SELECT doc_id, size, source_size, target,
        (size * (budget // greatest(source_size, 1))
         + greatest(0, least(size, budget % greatest(source_size, 1) - before)))::BIGINT AS taken
 FROM placed"""
+
+
+@query
+def op6_secret_scan(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan_paths(docs, secrets.ledger_scratch(docs))
+    base = [r.kind for r in secrets.BASE_RULES]
+    findings = F.col("findings")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(findings, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, base), F.sha2(secrets.digest(findings, base), 256).alias("base_sha256"),
+                        secrets.digest(findings).alias("spans"))
+
+
+ORACLE["op6_secret_scan"] = oracle.secret_scan()
+
+
+@query
+def op7_licence_scan(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.col("licences")
+    best = F.array_max(F.transform(found, lambda x: x["dice"]))
+    first = F.array_min(F.transform(F.filter(found, lambda x: x["dice"] == best), lambda x: x["licence"]))
+    names = F.array_sort(F.array_distinct(F.transform(found, lambda x: x["licence"])))
+    return licences.scan(docs).select(
+        "doc_id", F.size("licences").cast("long").alias("n_matches"), first.alias("licence"), best.alias("dice"),
+        F.array_join(names, ",").alias("licences"))
+
+
+ORACLE["op7_licence_scan"] = oracle.licence_scan()

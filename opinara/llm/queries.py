@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, licences, mixing, oracle, quality, secrets, sharding
+from opinara.llm import bpe, licences, mixing, neighbours, oracle, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -118,3 +118,8 @@ def op7_licence_scan(spark, sf_dir):
 
 
 ORACLE["op7_licence_scan"] = oracle.licence_scan()
+
+
+@query
+def op10_nearest_neighbours(spark, sf_dir):
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

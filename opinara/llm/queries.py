@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, licences, mixing, neighbours, oracle, quality, secrets, sharding
+from opinara.llm import bpe, jaccard, licences, mixing, neighbours, oracle, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -23,6 +23,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_sharding(spark, sf_dir):
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, jaccard, licences, mixing, neighbours, oracle, quality, secrets, sharding
+from opinara.llm import bpe, jaccard, licences, lm, mixing, neighbours, oracle, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -28,6 +28,12 @@ def op2_jaccard_join(spark, sf_dir):
     return jaccard.components(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_lm_scoring(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm.score(_table(spark, sf_dir, "documents"), held_out)
+
+
 @query
 def op4_sharding(spark, sf_dir):
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, jaccard, licences, lm, mixing, neighbours, oracle, quality, secrets, sharding
+from opinara.llm import bpe, jaccard, langid, licences, lm, mixing, neighbours, oracle, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -23,6 +23,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_language_id(spark, sf_dir):
+    # A document's source stands for its host and its declared language for the page's markup; addresses it has none.
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return langid.identify(docs, host="source", declared="lang", label="lang").select(
+        "doc_id", "language", "probability", F.col("accepted").alias("kept"))
+
+
+@query
+def page_language_id(spark, sf_dir):
+    """The same operator on pages: markup language, address suffix and host; text likelihoods from documents."""
+    pages = _table(spark, sf_dir, "pages")
+    clues = pages.select(
+        "page_id", langid.visible_text(F.col("html")).alias("text"), langid.declared_language(F.col("html")).alias("declared"),
+        langid.host_of(F.col("url")).alias("host"), langid.suffix_of(F.col("url")).alias("suffix"))
+    model = langid.fit(_table(spark, sf_dir, "documents"), "text", "lang")
+    return langid.identify(clues, host="host", declared="declared", suffix="suffix", model=model).select(
+        "page_id", "declared", "language", "probability", "accepted")
+
+
 @query
 def op2_jaccard_join(spark, sf_dir):
     return jaccard.components(_table(spark, sf_dir, "documents"))

@@ -2,16 +2,18 @@
 
 Two sets link when their Jaccard similarity reaches a threshold, given as a fraction so that decisions are exact.  A set
 x needs an overlap of at least ``ceil(t |x|)`` with any partner, so under one global order of grams (frequent
-ones last) partners share a gram of their prefixes, and at least ``EXTRA`` grams of slightly longer ones.
+ones last) partners share a gram of their prefixes, and as many more as the prefixes are longer.
 
 1. Sets are built from whole texts; equal sets become one node.
 2. Grams that very many prefixes hold are put last in the order; at most ``HOT`` of them exist by construction.
-3. Prefix grams that only one node holds, or that no node of fitting size shares, are dropped, then nodes with too few.
-4. Nodes meet in blocks, one block for each gram, and a T-occurrence search finds the links of each block:
-   inverted lists over the whole sets, short lists merged by count, the long ones probed by binary search.
-   Round one sends every node to one block, which gathers groups of near copies; round two sends
-   nodes to the blocks of all grams that still join different components, and looks at pairs across components only.
-5. Links become components.  Nothing is capped: a block with too many grams for one task is cut into
+3. Prefix grams that only one node holds, or that no node of fitting size shares, are dropped, then nodes with too few:
+   a long text that shares some phrases with others does not meet them at all.
+4. Nodes meet in blocks, and a T-occurrence search finds the links of each block: inverted lists over the whole sets,
+   short lists merged by count, the long ones probed by binary search.  Round one sends every node to the
+   block of one frequent gram, which gathers groups of near copies; large blocks are dealt into chunks, twice and
+   differently.  Round two keeps grams that still join different components.  Nodes that such grams connect are a
+   family, and every family is a block, so a node is sent once however many grams it shares.
+5. Links become components.  Nothing is capped: a family with too many grams for one task is cut into
    chunks, and all pairs of chunks meet.
 """
 
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.llm import textkit
@@ -32,10 +34,10 @@ from opinara.llm.frames import named, written
 
 #: Grams in more than 1 / HOT of all prefix entries go last; there can be no more than HOT of them.
 HOT = 65_536
-#: Grams that the longer prefixes of partners share at least.
-EXTRA = 4
+#: Grams that the prefixes of partners share at least: a sixteenth of the smaller set, of what is beyond LONG a third.
+LEAST_SHARED, SHARED_PART, LONG, LONG_PART = 4, 16, 1_024, 3
 #: Grams of all sets that one block holds at most, before it is cut into chunks.
-BLOCK_GRAMS = 1_000_000
+BLOCK_GRAMS = 250_000
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,15 @@ class Threshold:
         return -(-self.num * (a + b) // (self.num + self.den))
 
     def prefix(self, size):
-        return size - self.least_overlap(size) + np.minimum(EXTRA, size)
+        shared = np.maximum(LEAST_SHARED, np.minimum(size, LONG) // SHARED_PART) + np.maximum(size - LONG, 0) // LONG_PART
+        return size - self.least_overlap(size) + np.minimum(shared, size)
+
+    def least_shared(self, size: Column) -> Column:
+        """Prefix grams that a set of this size shares with any partner, which may be smaller."""
+        smaller = F.ceil(size * self.num / self.den)
+        shared = F.greatest(F.lit(LEAST_SHARED), F.floor(F.least(smaller, F.lit(LONG)) / SHARED_PART)) + F.floor(
+            F.greatest(smaller - LONG, F.lit(0)) / LONG_PART)
+        return F.least(smaller, shared)
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -248,15 +258,22 @@ def block_links(nodes: np.ndarray, components: np.ndarray, grams: np.ndarray, fi
     return out
 
 
-def _links(blocks: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """Links of all blocks; ``blocks``: gram, node, n, component."""
-    total = blocks.groupBy("gram").agg(F.sum("n").alias("block_n"), F.count("*").alias("held")).filter(
-        "held > 1").select(F.col("gram").alias("block_gram"), "block_n")
-    chunks = F.ceil(F.col("block_n") / BLOCK_GRAMS).cast("int")
-    sized = blocks.join(total, F.col("gram") == F.col("block_gram")).withColumn("chunks", chunks)
-    own = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    placed = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "gram", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def _links(blocks: DataFrame, sets: DataFrame, threshold: Threshold, deal: int | None = None) -> DataFrame:
+    """Links within blocks; ``blocks``: block, node, n, component.
+
+    A block of many grams is cut into chunks.  All pairs of chunks meet, or with ``deal`` the number of a random deal,
+    only nodes of the same chunk do.
+    """
+    total = blocks.groupBy("block").agg(F.sum("n").alias("block_n"), F.count("*").alias("held")).filter(
+        "held > 1").select(F.col("block").alias("of"), F.ceil(F.col("block_n") / BLOCK_GRAMS).cast("int").alias("chunks"))
+    own = blocks.join(total, F.col("block") == F.col("of")).withColumn(
+        "own", F.pmod(F.xxhash64("node", F.lit(deal or 0)), F.col("chunks")).cast("int"))
+    if deal is None:
+        own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    else:
+        own = own.withColumn("other", F.col("own"))
+    placed = own.select(
+        "block", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     loaded = placed.join(sets, "node")
 
     def search(table: pa.Table) -> pa.Table:
@@ -270,7 +287,27 @@ def _links(blocks: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFram
         return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())],
                         names=["a", "b"])
 
-    return loaded.groupBy("gram", "i", "j").applyInArrow(search, "a long, b long")
+    return loaded.groupBy("block", "i", "j").applyInArrow(search, "a long, b long")
+
+
+def _with_enough(entries: DataFrame, threshold: Threshold) -> DataFrame:
+    """Entries of the nodes that have as many of them as any partner would share."""
+    n_shared = F.count("*").over(Window.partitionBy("node"))
+    return entries.withColumn("n_shared", n_shared).filter(
+        F.col("n_shared") >= threshold.least_shared(F.col("n"))).drop("n_shared")
+
+
+def _rooted(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """``entries`` with the component of their node so far."""
+    return entries.join(found, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+
+
+def _across(entries: DataFrame) -> DataFrame:
+    """Entries of the grams that nodes of different components hold, with the number of these nodes."""
+    grams = entries.groupBy("gram").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held")).filter(
+        "low <> high").select("gram", "held")
+    return entries.drop("held").join(grams, "gram")
 
 
 def components(df: DataFrame, identity: str = "doc_id", text: str = "text", width: int = 4,
@@ -290,32 +327,38 @@ def components(df: DataFrame, identity: str = "doc_id", text: str = "text", widt
     nodes = written(members.groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix")),
                     "nodes")
     # Entries of the inverted index of prefixes, without grams that no other node of fitting size holds.
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("place", "gram"))
+    entries = nodes.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("gram"))
     in_order = Window.partitionBy("gram").orderBy("n", "node")
     before, after = F.lag("n").over(in_order), F.lead("n").over(in_order)
     fits = (before * threshold.den >= F.col("n") * threshold.num) | (F.col("n") * threshold.den >= after * threshold.num)
     shared = entries.withColumn("fits", fits).filter("fits").drop("fits")
-    enough = Window.partitionBy("node")
-    active = shared.withColumn("n_shared", F.count("*").over(enough)).filter(
-        F.col("n_shared") >= F.least(F.lit(EXTRA), F.col("n"))).drop("n_shared")
-    active = written(active, "active")
+    active = written(_with_enough(shared, threshold), "active")
     holders = active.groupBy("gram").agg(F.count("*").alias("held"))
-    ranked = active.join(holders, "gram").groupBy("node", "n").agg(
-        F.max(F.struct("held", "gram"))["gram"].alias("gram"))
-    first_blocks = ranked.withColumn("component", F.col("node"))
-    ids = nodes.join(active.select("node").distinct(), "node", "left_semi").select(F.col("doc_id").alias("id"))
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-    sets = written(sets_of(texts, width).dropDuplicates(["node"]), "sets")
-    links = written(_links(first_blocks, sets, threshold), "links-1")
+    first_blocks = written(active.join(holders, "gram").groupBy("node", "n").agg(
+        F.max(F.struct("held", "gram"))["gram"].alias("block")), "blocks")
+    ids = nodes.join(first_blocks.select("node"), "node", "left_semi").select(F.col("doc_id").alias("id"))
+    texts = docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    sets = written(sets_of(texts, width), "sets")
+    links = written(_links(first_blocks.withColumn("component", F.col("node")), sets, threshold, 1), "links")
+    found = connected(links)
+    large = first_blocks.groupBy("block").agg(F.sum("n").alias("block_n")).filter(F.col("block_n") > BLOCK_GRAMS)
+    dealt_anew = _rooted(first_blocks.join(large.select("block"), "block"), found)
+    links = written(links.union(_links(dealt_anew, sets, threshold, 2)), "links")
+    known = _across(_rooted(active, connected(links)))
+    for _ in range(2):
+        known = _across(_with_enough(known, threshold))
+    known = written(_with_enough(known, threshold), "meeting")
+    # Partners share least_shared of these entries, so they meet even if each leaves out all but one of so many.
+    in_order = Window.partitionBy("node").orderBy("held", "gram")
+    routed = known.withColumns({
+        "at": F.row_number().over(in_order), "entries": F.count("*").over(Window.partitionBy("node"))})
+    routed = written(_across(routed.filter(
+        F.col("at") <= F.col("entries") - threshold.least_shared(F.col("n")) + 1)), "routed")
+    firsts = routed.groupBy("gram").agg(F.min("node").alias("a"))
+    families = connected(routed.join(firsts, "gram").select("a", F.col("node").alias("b")))
+    blocks = routed.select("node", "n", "component").distinct().join(families, "node").withColumnRenamed("root", "block")
+    links = written(links.union(_links(blocks, sets, threshold)), "links")
     found = connected(links)
-    # Partners share a gram of their shorter prefixes already; the last EXTRA - 1 places have done their work.
-    least = F.ceil(F.col("n") * threshold.num / threshold.den)
-    meeting = active.filter(F.col("place") <= F.col("n") - least).join(found, "node", "left").select(
-        "gram", "node", "n", F.coalesce("root", "node").alias("component"))
-    across = meeting.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter(
-        "low <> high").select("gram")
-    more = _links(meeting.join(across, "gram"), sets, threshold)
-    found = connected(links.union(more))
     grouped = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = grouped.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("lowest"))
     return grouped.join(lowest.withColumnRenamed("root", "of"), F.col("root") == F.col("of"), "left").select(

@@ -211,7 +211,7 @@ located AS (
 
 RAW_REVIEWS = """
 turns AS (
-  SELECT conv_id, turn // 100 AS part, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS dialect, turn, role, text,
+  SELECT conv_id, turn // 4 AS part, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS dialect, turn, role, text,
          (1 + turn % 5)::DOUBLE AS rating
   FROM conversations),
 raw_reviews AS (
@@ -246,14 +246,20 @@ def _add(name: str, ctes: str, body: str) -> None:
 
 # ---- sources -----------------------------------------------------------------------------------
 
-_add("scan_raw_places", "", """
-SELECT 'conv ' || conv_id AS title, conv_id::VARCHAR AS place_id,
-       count(*) FILTER (WHERE role = 'user')::INTEGER AS n_reviews,
-       count(*) FILTER (WHERE role <> 'user')::INTEGER AS n_extended
-FROM conversations GROUP BY conv_id, turn // 100""")
+_add("scan_raw_places", RAW_REVIEWS, """
+SELECT place_name, place_id, pos, review_text, review_rating, review_date, reviewer_name FROM extracted
+UNION ALL
+SELECT place_name, place_id, pos, review_text, review_rating, review_date, reviewer_name FROM extracted
+WHERE place_seq % 3 = 0""")
 _add("flatten_struct", "", """
 SELECT event_id, json_extract(props, '$.k')::BIGINT AS "props.k" FROM events""")
-_add("scan_reviews", REVIEWS, f"SELECT review_id, {_REVIEW_COLUMNS} FROM reviews")
+_add("scan_reviews", REVIEWS, f"SELECT {_REVIEW_COLUMNS} FROM reviews")
+_add("merged_sink", COPIED, """
+SELECT copy, place_name, count(*) AS reviews, sum(length(reviewer_name))::BIGINT AS characters, sum(review_rating) AS ratings
+FROM (SELECT * FROM copied WHERE regexp_matches(review_text, '\\S')
+      QUALIFY row_number() OVER (PARTITION BY place_id, review_text ORDER BY batch, review_id) = 1),
+     (VALUES ('parquet'), ('csv')) AS copies(copy)
+GROUP BY copy, place_name""")
 _add("scan_batches", REVIEWS, "SELECT review_id, place_name, review_rating, batch FROM reviews")
 _add("latest_run", REVIEWS, "SELECT review_id, place_name, 'second' AS run_id FROM reviews")
 _add("scan_queries", "", """
@@ -668,7 +674,9 @@ WHERE query NOT IN (SELECT query FROM log WHERE status IN ('completed', 'failed'
 UNION ALL
 SELECT query, 'retry' FROM log WHERE status = 'failed' AND query NOT IN (SELECT query FROM log WHERE status = 'completed')
 GROUP BY query HAVING max(attempts) < 3""")
-_add("new_queries", LOG, "SELECT DISTINCT query FROM listed WHERE query NOT IN (SELECT query FROM log)")
+_add("new_queries", LOG, """
+SELECT DISTINCT query FROM (SELECT query FROM listed UNION ALL SELECT replace(query, 'clinic', 'bakery') FROM listed)
+WHERE query NOT IN (SELECT query FROM log)""")
 _add("distinct_queries", LOG, "SELECT query, min(position) AS first_position FROM log GROUP BY query")
 _CROSSED = """
 SELECT DISTINCT keyword || ' in ' || 'Area ' || c_custkey AS query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,14 +40,33 @@ def _on(name: str, base: Query, operator: Callable[[DataFrame], DataFrame]) -> N
 
 # ---- sources and sinks -------------------------------------------------------------------------
 
+def _landed_places(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Place records as JSON lines of which some hold their reviews as JSON text, with elements that are no reviews."""
+    places = a.raw_places(spark, sf_dir)
+    as_text = F.to_json("user_reviews")
+    mixed = F.concat(F.lit("[1, null, "), F.substring(as_text, 2, 1 << 30))
+    stray = F.when(F.size("user_reviews") > 0, mixed).otherwise(as_text)
+    textual = F.col("place_seq") % 2 == 1
+    columns = [c for c in places.columns if c not in ("place_seq", "user_reviews")]
+    places.filter(~textual).drop("place_seq").write.json(f"{folder}/kind=lines")
+    places.filter(textual).select(*columns, stray.alias("user_reviews")).write.json(f"{folder}/kind=text")
+    # The same records again as one array over many lines, in files of their own.
+    arrays = places.filter(F.col("place_seq") % 3 == 0).drop("place_seq")
+    rows = arrays.select(F.to_json(F.struct(*arrays.columns)).alias("value"), F.spark_partition_id().alias("p"),
+                         F.monotonically_increasing_id().alias("i"))
+    closed = W.partitionBy("p").orderBy("i")
+    piece = F.concat(F.when(F.row_number().over(closed) == 1, "[\n ").otherwise(" ,"), "value",
+                     F.when(F.lead("i").over(closed).isNull(), "\n]").otherwise(""))
+    rows.select(piece.alias("value"), "p", "i").sortWithinPartitions("p", "i").select("value", "p").write.partitionBy(
+        "p").text(f"{folder}/kind=array")
+    return readers.read_places(spark, f"{folder}/{{kind=lines,kind=text,kind=array/*}}")
+
+
 @query
 def scan_raw_places(spark, sf_dir):
-    path = scratch_path(spark, "raw-places")
-    a.raw_places(spark, sf_dir).drop("place_seq").write.json(path)
-    return readers.read_places(spark, path).select(
-        "title", "place_id", F.size("user_reviews").alias("n_reviews"),
-        F.size("user_reviews_extended").alias("n_extended"),
-    )
+    places = _landed_places(spark, sf_dir, scratch_path(spark, "raw-places"))
+    return extract.explode_reviews(places, ["place_seq"]).select(
+        "place_name", "place_id", "pos", "review_text", "review_rating", "review_date", "reviewer_name")
 
 
 @query
@@ -59,7 +79,9 @@ def flatten_struct(spark, sf_dir):
 
 @query
 def scan_reviews(spark, sf_dir):
-    return a.reviews(spark, sf_dir).select("review_id", *schemas.REVIEW_COLUMNS)
+    path = scratch_path(spark, "reviews")
+    writers.write_parquet(a.reviews(spark, sf_dir).select(*schemas.REVIEW_COLUMNS), path)
+    return readers.read_reviews(spark, path).drop("review_id")
 
 
 @query
@@ -86,20 +108,39 @@ def latest_run(spark, sf_dir):
 def scan_queries(spark, sf_dir):
     path = scratch_path(spark, "query-list")
     key = F.col("page_id")
-    line = F.when(key % 5 == 0, F.concat(F.lit("# "), "url")).when(key % 7 == 0, "  ").otherwise(
-        F.concat(F.lit(" "), "url")
+    line = F.when(key % 5 == 0, F.concat(F.lit("# "), "url")).when(key % 7 == 0, "\t ").otherwise(
+        F.concat(F.lit("\t "), "url", F.lit(" \t"))
     )
-    a.table(spark, sf_dir, "pages").select(line.alias("value")).write.text(path)
+    writers.write_queries(a.table(spark, sf_dir, "pages").select(line.alias("query")), path)
     return readers.read_queries(spark, path).select("query")
 
 
 @query
 def place_coordinates(spark, sf_dir):
+    folder = scratch_path(spark, "places")
     places = a.places(spark, sf_dir)
-    early = places.filter(F.col("place_seq") % 2 == 0).drop("review_count")
-    late = places.filter(F.col("place_seq") % 2 == 1)
-    both = merge.union_batches([early.withColumn("batch", F.lit(1)), late.withColumn("batch", F.lit(2))])
-    return merge.dedupe_places(both, ["batch", "place_seq"]).drop("batch", "place_seq")
+    for part, kept in (("0", places.drop("review_count")), ("1", places)):
+        half = kept.filter(F.col("place_seq") % 2 == int(part))
+        writers.write_parquet(half.withColumn("order", F.col("place_seq")), f"{folder}/{part}")
+    read = readers.read_coordinates(spark, f"{folder}/*")
+    # Titles repeat, and a place's id is its number: the even half comes first.
+    number = F.col("place_id").cast("long")
+    return merge.dedupe_places(read, [number % 2, number])
+
+
+@query
+def merged_sink(spark, sf_dir):
+    """The merged reviews as written and read back: rows and characters of the Parquet and the CSV copy."""
+    folder = scratch_path(spark, "merged")
+    columns = ["place_name", "place_id", "review_rating", "reviewer_name"]
+    merged = merge.merge_reviews(a.copied_reviews(spark, sf_dir), ["batch", "review_id"]).select(*columns)
+    writers.write_merged(merged, folder)
+    stored = spark.read.parquet(f"{folder}/collected_all_reviews.parquet").withColumn("copy", F.lit("parquet"))
+    text_copy = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/collected_all_reviews.csv")
+    text_copy = text_copy.withColumn("review_rating", F.col("review_rating").cast("double")).withColumn("copy", F.lit("csv"))
+    return stored.unionByName(text_copy).groupBy("copy", "place_name").agg(
+        F.count(F.lit(1)).alias("reviews"), F.sum(F.length("reviewer_name")).cast("long").alias("characters"),
+        F.sum("review_rating").alias("ratings"))
 
 
 _on("export_all_reviews", a.copied_reviews,
@@ -330,7 +371,10 @@ def pending_queries(spark, sf_dir):
 
 @query
 def new_queries(spark, sf_dir):
-    return collection.new_queries(a.listed_queries(spark, sf_dir), a.query_log(spark, sf_dir))
+    listed = a.listed_queries(spark, sf_dir)
+    # The log knows every customer's clinic; none of the bakeries.
+    bakeries = listed.select(F.regexp_replace("query", "^clinic", "bakery").alias("query"))
+    return collection.new_queries(listed.union(bakeries), a.query_log(spark, sf_dir))
 
 
 _on("distinct_queries", a.query_log, collection.distinct_queries)

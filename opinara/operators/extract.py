@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from opinara.functions.text import not_blank, strip
 from opinara.operators.ranking import keep_first
-from opinara.schemas import RAW_REVIEWS, REVIEW_COLUMNS
+from opinara.schemas import RAW_REVIEW, RAW_REVIEWS, REVIEW_COLUMNS
 
 
 def flatten_struct(df: DataFrame, separator: str = ".") -> DataFrame:
@@ -33,7 +33,10 @@ def first_text(*candidates: Column) -> Column:
 
 
 def _reviews_of(df: DataFrame, name: str) -> Column:
-    """The review array of a column given as maps, as structs or as JSON text; never NULL."""
+    """The review array of a column given as maps, as structs or as JSON text; never NULL.
+
+    Elements of JSON text are parsed one by one, so an element that is no object loses itself only.
+    """
     nothing = F.array().cast(RAW_REVIEWS)
     if name not in df.columns:
         return nothing
@@ -43,7 +46,9 @@ def _reviews_of(df: DataFrame, name: str) -> Column:
         kind = T.StringType()
     if isinstance(kind, T.StringType):
         # Malformed text yields NULL and is skipped.
-        column = F.from_json(column, RAW_REVIEWS)
+        elements = F.from_json(column, T.ArrayType(T.StringType()))
+        parsed = F.transform(elements, lambda e: F.from_json(e, RAW_REVIEW))
+        column = F.filter(parsed, lambda e: e.isNotNull())
     return F.coalesce(column, nothing)
 
 

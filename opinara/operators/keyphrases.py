@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.numbers import half_even
 from opinara.functions.text import ngrams
-from opinara.operators.keywords import review_words, spread_join
+from opinara.operators.keywords import review_words
 from opinara.operators.ranking import top_per_group
 
 
@@ -30,7 +30,7 @@ def mmr_keyphrases(
     ``phrase_vectors(phrase, vector)`` and ``review_vectors(review_id, vector)`` come from whatever
     embedding model is in use.  Only the greedy choice runs in Python, on the phrases of one review.
     """
-    vectors = spread_join(candidates, phrase_vectors, ["phrase"], ["review_id"])
+    vectors = candidates.join(phrase_vectors, "phrase")
     about = review_vectors.select("review_id", F.col("vector").alias("about"))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:

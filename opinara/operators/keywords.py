@@ -9,24 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinara.functions.numbers import half_even
-from opinara.functions.text import ngrams, words
+from opinara.functions.text import ngrams, with_computed, words
 from opinara.operators.ranking import top_per_group
+from opinara.session import materialise
 
 
-def spread_join(
-    big: DataFrame, small: DataFrame, keys: Sequence[str], spread_by: Sequence[str], buckets: int = 16
-) -> DataFrame:
-    """Inner join whose hot keys are split over ``buckets`` tasks.
-
-    ``big`` is salted by a hash of ``spread_by`` and every row of ``small`` is repeated once per
-    salt.  Whether ``small`` is broadcast instead is left to Spark, which knows its size.
-    """
-    # Declared non-null, so that no null filter on the salt is pushed below an exchange and keeps it
-    # from being reused.
-    salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"), F.lit(0))
-    salted = big.withColumn("_salt", salt)
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+_SLOTS = 512
 
 
 def review_words(df: DataFrame, stop_words: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -38,32 +26,40 @@ def _grams(sizes: Sequence[int]) -> Column:
     return F.concat(*[ngrams(F.col("words"), n) for n in sizes])
 
 
-def term_counts(word_table: DataFrame, sizes: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, review_id, term, tf).
+def with_counts(df: DataFrame, terms: Column) -> DataFrame:
+    """Add ``counts``: the distinct terms of an array with their counts, by the boundaries of its sorted form.
 
-    With ``word_table`` partitioned by ``review_id`` (as compact word arrays), neither the count nor a
-    later window over ``review_id`` needs another shuffle.
+    Every step is a column of its own: inside a lambda an expression would be evaluated once for each element.
     """
-    grams = word_table.select(*keys, "review_id", F.explode(_grams(sizes)).alias("term"))
-    return grams.groupBy(*keys, "review_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def document_frequencies(word_table: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """(term, df, total): number of reviews with the term and number of occurrences.
-
-    Sorting the terms inside the row marks the first occurrence, so one partially aggregated shuffle
-    of the terms is enough.
+    ordered, starts = F.col("_ordered"), F.col("_starts")
+    df = with_computed(df, _ordered=F.sort_array(terms))
+    last = F.size(ordered) - 1
+    every = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    df = with_computed(df, _starts=F.filter(
+        every, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))))
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(last + 1))
+    df = with_computed(df, _pairs=F.arrays_zip(starts.alias("i"), F.slice(ends, F.lit(1), F.size(starts)).alias("j")))
+    counts = F.transform("_pairs", lambda p: F.struct(F.get(ordered, p["i"]).alias("term"), (p["j"] - p["i"]).alias("tf")))
+    return with_computed(df, counts=counts).drop("_ordered", "_starts", "_pairs")
+
+
+def document_frequencies(word_table: DataFrame, sizes: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, term, df, total): number of reviews with the term and number of occurrences.
+
+    The row with a NULL term counts the reviews themselves, so one pass over the texts and one partially aggregated
+    shuffle of the terms give both.
     """
-    ordered = word_table.select(F.sort_array(_grams(sizes)).alias("_terms"))
+    ordered = word_table.select(*keys, F.sort_array(_grams(sizes)).alias("_terms"))
     marked = F.zip_with(
         F.col("_terms"),
         F.concat(F.array(F.lit(None).cast("string")), F.slice("_terms", F.lit(1), F.greatest(F.size("_terms") - 1, F.lit(0)))),
         lambda term, before: F.struct(term.alias("term"), F.when(term.eqNullSafe(before), 0).otherwise(1).alias("first")),
     )
-    # An empty review leaves one row without a term.  (Filtering on the array instead would be pushed
-    # down and compute every n-gram twice.)
-    rows = ordered.select(F.inline(marked)).filter(F.col("term").isNotNull())
-    return rows.groupBy("term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("total"))
+    # An empty review has one entry without a term from the shift; it is not one of its terms.
+    terms = F.filter(marked, lambda m: m["term"].isNotNull())
+    review = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first")))
+    rows = ordered.select(*keys, F.inline(F.concat(review, terms)))
+    return rows.groupBy(*keys, "term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("total"))
 
 
 def word_frequencies(df: DataFrame, top_n: int = 100) -> DataFrame:
@@ -77,8 +73,8 @@ def phrase_frequencies(
 ) -> DataFrame:
     """Most frequent ``n``-grams among those in at least ``min_df`` and at most ``max_df`` of the reviews."""
     stats = document_frequencies(review_words(df, stop_words), [n])
-    reviews = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= reviews * max_df))
+    reviews = stats.filter(F.col("term").isNull()).select(F.col("df").cast("double")).scalar()
+    kept = stats.filter(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= reviews * max_df))
     # The feature cut orders by the same count, so it only matters when it is the smaller number.
     return kept.orderBy(F.desc("total"), "term").limit(min(top_n, max_features)).select(
         F.col("term").alias("phrase"), F.col("total").alias("occurrences")
@@ -99,32 +95,45 @@ def tfidf_keywords(
     table = df
     for key in keys:
         table = table.filter(F.col(key).isNotNull())
-    # One exchange of the word arrays serves the group sizes, the vocabulary and the weights.  The
-    # count looks at the arrays, which keeps the column and thereby the exchange the same.
-    word_table = review_words(table, stop_words, keys).repartition("review_id")
-    reviews = F.count(F.when(F.size("words") >= 0, 1))
-    counts = term_counts(word_table, sizes, keys)
-    stats = counts.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    frequent = stats.filter(F.col("df") >= min_df)
+    # Texts are cleaned once: the word arrays are stored, then counted and weighted.
+    word_table = materialise(review_words(table, stop_words, keys))
+    stats = document_frequencies(word_table, sizes, keys)
+    sizes_of = stats.filter(F.col("term").isNull() & (F.col("df") >= min_reviews)).select(*keys, F.col("df").alias("reviews"))
+    frequent = stats.filter(F.col("term").isNotNull() & (F.col("df") >= min_df))
     if keys:
-        sizes_of = word_table.groupBy(*keys).agg(reviews.alias("reviews")).filter(F.col("reviews") >= min_reviews)
-        frequent = spread_join(frequent, sizes_of, keys, ["term"])
+        frequent = frequent.join(sizes_of, keys)
     else:
-        frequent = frequent.withColumn("reviews", word_table.agg(reviews).scalar())
+        frequent = frequent.withColumn("reviews", sizes_of.select("reviews").scalar())
     frequent = frequent.filter(F.col("df") <= F.col("reviews") * max_df)
     vocabulary = top_per_group(
         frequent, keys, [F.desc("total"), F.col("term")], max_features, rank="_rank", spread_by=["term"]
     ).select(*keys, "term", (F.log((1.0 + F.col("reviews")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    # A group's vocabulary has at most max_features terms, so it travels to its reviews in one value.  Maps are searched
+    # from front to back, so it is an array of small maps, addressed by a hash of the term.
+    def slot(term: Column) -> Column:
+        return F.pmod(F.crc32(term), F.lit(_SLOTS)).cast("int")
+
+    slots = vocabulary.groupBy(*keys, slot(F.col("term")).alias("slot")).agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("terms"))
+    by_slot = slots.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "terms"))).alias("filled"))
+    lookup = by_slot.select(*keys, F.transform(
+        F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda i: F.try_element_at("filled", i)).alias("idf"))
     if keys:
-        weighted = spread_join(counts, vocabulary, [*keys, "term"], ["review_id"])
+        rows = word_table.join(lookup, keys)
     else:
-        # At most max_features rows.
-        weighted = counts.join(F.broadcast(vocabulary), "term")
-    weighted = weighted.withColumn("weight", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("review_id")))
-    scored = weighted.withColumn("share", F.col("weight") / length).groupBy(*keys, "term").agg(
-        half_even(F.sum("share"), 6).alias("score")
-    )
+        rows = word_table.withColumn("idf", lookup.select("idf").scalar()).filter(F.col("idf").isNotNull())
+
+    def idf_of(term: Column) -> Column:
+        return F.try_element_at(F.get("idf", slot(term)), term)
+
+    known = F.filter(_grams(sizes), lambda term: idf_of(term).isNotNull())
+    counted = with_counts(rows, known)
+    weights = F.transform("counts", lambda c: F.struct(
+        c["term"].alias("term"), (c["tf"] * idf_of(c["term"])).alias("weight")))
+    weighted = with_computed(counted.select(*keys, weights.alias("weights")), length=F.sqrt(
+        F.aggregate("weights", F.lit(0.0), lambda total, w: total + w["weight"] * w["weight"])))
+    shares = weighted.select(*keys, "length", F.inline("weights"))
+    scored = shares.groupBy(*keys, "term").agg(half_even(F.sum(F.col("weight") / F.col("length")), 6).alias("score"))
     ranked = top_per_group(scored, keys, [F.desc("score"), F.col("term")], top_n)
     return ranked.select(*keys, F.col("term").alias("keyword"), "score", "rank")
 
@@ -155,7 +164,13 @@ def keyword_sentiment(
     grams = review_words(sided, stop_words, ["sentiment"]).select("sentiment", F.explode(_grams([1, 2])).alias("keyword"))
     counts = grams.groupBy("sentiment", "keyword").agg(F.count(F.lit(1)).alias("tf"))
     order = [F.desc("tf"), F.col("keyword")]
-    kept = top_per_group(counts, ["sentiment"], order, max_features, rank="_rank", spread_by=["keyword"])
+    # How many terms have each count says which counts can be among the first max_features; only those are ranked.
+    levels = counts.groupBy("sentiment", "tf").agg(F.count(F.lit(1)).alias("terms"))
+    above = W.partitionBy("sentiment").orderBy(F.desc("tf")).rowsBetween(W.unboundedPreceding, -1)
+    needed = levels.withColumn("above", F.coalesce(F.sum("terms").over(above), F.lit(0))).filter(
+        F.col("above") < max_features).groupBy("sentiment").agg(F.min("tf").alias("least"))
+    frequent = counts.join(needed, "sentiment").filter(F.col("tf") >= F.col("least"))
+    kept = top_per_group(frequent, ["sentiment"], order, max_features, rank="_rank", spread_by=["keyword"])
     length = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(W.partitionBy("sentiment")))
     best = kept.withColumn("score", F.col("tf") / length).filter(F.col("_rank") <= top_n)
 

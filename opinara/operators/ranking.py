@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 
 from opinara.session import materialise
 
-# Spark keeps only the best n rows of a group on the map side while n is below this (its default
-# for spark.sql.optimizer.windowGroupLimitThreshold).
-_MAP_SIDE_LIMIT = 1000
-
-
 def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str]) -> DataFrame:
     """One row per key: the first in ``order_by`` (which should be a total order).
 
@@ -32,19 +27,18 @@ def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | s
 
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], n: int, *,
-    rank: str = "rank", spread_by: Sequence[str] = (), buckets: int = 64,
+    rank: str = "rank", spread_by: Sequence[str] = (), buckets: int | None = None,
 ) -> DataFrame:
-    """The first ``n`` rows of each group with their 1-based rank; exact.
+    """The first ``n`` rows of each group with their 1-based rank; exact, and one plan for every n.
 
-    A small ``n`` is limited on the map side by Spark.  A larger one is first limited within hash
-    buckets of ``spread_by``, so that no task sorts a whole large group.
+    With ``spread_by`` a group is first limited within hash buckets of these columns (by default as many as the session
+    has shuffle partitions), so that no task sorts a whole large group.
     """
     if not keys:
         head = df.orderBy(*order_by).limit(n)
         return head.withColumn(rank, F.row_number().over(W.orderBy(*order_by)))
-    if n >= _MAP_SIDE_LIMIT:
-        if not spread_by:
-            raise ValueError("a large n needs spread_by")
+    if spread_by:
+        buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         local = W.partitionBy(*keys, "_bucket").orderBy(*order_by)
         df = (
             df.withColumn("_bucket", F.pmod(F.xxhash64(*spread_by), F.lit(buckets)))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from opinara.functions.numbers import half_even
 from opinara.functions.text import ngrams
 from opinara.operators.keywords import document_frequencies, review_words
+from opinara.session import materialise
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class TopicModel:
             "topic", (F.col("pos") + 1).alias("rank"), F.col("t.termIndices").alias("term_index"),
             half_even(F.col("t.termWeights"), 6).alias("weight"),
         )
-        return rows.join(F.broadcast(terms), "term_index").select("topic", "rank", "word", "weight")
+        return rows.join(terms, "term_index").select("topic", "rank", "word", "weight")
 
     def topic_distribution(self) -> DataFrame:
         """(review_id, distribution, dominant_topic)."""
@@ -58,23 +58,25 @@ class TopicModel:
 
 def fit_topics(
     df: DataFrame, stop_words: Sequence[str], *, n_topics: int = 5, max_features: int = 3000,
-    min_df: int = 3, max_df: float = 0.8, iterations: int = 20, seed: int = 42,
+    min_df: int = 3, max_df: float = 0.8, iterations: int = 10, seed: int = 42,
 ) -> TopicModel | None:
     """Fit an online LDA on (1, 2)-gram counts; None below ten reviews or without a usable term.
 
-    The vocabulary is the only thing collected: at most ``max_features`` terms, ties in term order.
-    The word vectors are reused by every iteration, so they are persisted (spilling to disk).
+    The vocabulary is the only thing collected: at most ``max_features`` terms, ties in term order.  Word arrays and
+    vectors are stored once below the shared folder; every iteration passes over all of them.
     """
-    if df.limit(10).count() < 10:
+    table = materialise(review_words(df, stop_words))
+    stats = document_frequencies(table, [1, 2])
+    head = stats.filter(F.col("term").isNull()).first()
+    reviews = head["df"] if head else 0
+    if reviews < 10:
         return None
-    table = review_words(df, stop_words)
-    reviews = table.agg(F.count(F.lit(1)).cast("double")).scalar()
-    kept = document_frequencies(table, [1, 2]).filter((F.col("df") >= min_df) & (F.col("df") <= reviews * max_df))
+    kept = stats.filter(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= reviews * max_df))
     vocabulary = [row.term for row in kept.orderBy(F.desc("total"), "term").limit(max_features).select("term").collect()]
     if not vocabulary:
         return None
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="features")
     terms = table.select("review_id", F.concat("words", ngrams(F.col("words"), 2)).alias("terms"))
-    vectors = counter.transform(terms).select("review_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    lda = LDA(k=n_topics, seed=seed, optimizer="online", maxIter=iterations)
+    vectors = materialise(counter.transform(terms).select("review_id", "features"))
+    lda = LDA(k=n_topics, seed=seed, optimizer="online", maxIter=iterations, subsamplingRate=1.0)
     return TopicModel(lda.fit(vectors), vocabulary, vectors)

@@ -17,11 +17,14 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
 RAW_REVIEW = T.MapType(_S, _S)
 RAW_REVIEWS = T.ArrayType(RAW_REVIEW)
 
+# The review arrays arrive as arrays or as JSON text of arrays; both are read as their text.
 RAW_PLACES = _struct(
     ("title", _S), ("place_id", _S), ("data_id", _S), ("category", _S), ("address", _S),
     ("review_rating", _D), ("review_count", _L), ("latitude", _D), ("longitude", _D),
-    ("user_reviews", RAW_REVIEWS), ("user_reviews_extended", RAW_REVIEWS),
+    ("user_reviews", _S), ("user_reviews_extended", _S),
 )
+# What the JSON reader is given: no value is lost because it is of another kind than declared.
+RAW_PLACES_TEXT = T.StructType([T.StructField(f.name, _S, True) for f in RAW_PLACES.fields])
 
 REVIEWS = _struct(
     ("place_name", _S), ("place_id", _S), ("place_rating", _D), ("place_category", _S),

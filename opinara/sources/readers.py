@@ -2,46 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara import schemas
+from opinara.functions.text import not_blank, strip
 
 
-def read_places(spark: SparkSession, path: str, *, pretty: bool = False) -> DataFrame:
-    """Raw places from JSON lines or single-line JSON arrays; ``pretty`` for arrays over many lines.
+def typed_places(raw: DataFrame) -> DataFrame:
+    """Declared types from text columns; a number that is none becomes NULL."""
+    return raw.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schemas.RAW_PLACES.fields))
 
-    Multi-line parsing would silently keep one record of a JSON-lines file, so it is never guessed.
-    A ``place_seq`` keeps the read order within and across files.
+
+def array_files(spark: SparkSession, path: str) -> list[str]:
+    """Files below ``path`` whose text begins with ``[``, as the first non-blank line says."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                         F.monotonically_increasing_id().alias("line")).filter(not_blank(F.col("value")))
+    heads = lines.groupBy("file").agg(F.min(F.struct("line", F.substring(strip(F.col("value")), 1, 1).alias("head")))["head"]
+                                      .alias("head"))
+    return [row.file for row in heads.filter(F.col("head") == "[").select("file").collect()]
+
+
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """Raw places from JSON lines or from JSON arrays on one line or many, told apart file by file.
+
+    A malformed line or file is an error, as the loss of its places would go unseen.  ``place_seq`` keeps the read order
+    within a file.
     """
-    reader = spark.read.schema(schemas.RAW_PLACES)
-    if pretty:
-        reader = reader.option("multiLine", True)
-    return reader.json(path).withColumn("place_seq", F.monotonically_increasing_id())
+    arrays = array_files(spark, path)
+    reader = spark.read.schema(schemas.RAW_PLACES_TEXT).option("mode", "FAILFAST")
+    if not arrays:
+        places = reader.json(path)
+    else:
+        listed = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct().collect()
+        lines = [row.file for row in listed if row.file not in set(arrays)]
+        places = reader.option("multiLine", True).json(arrays)
+        if lines:
+            places = places.unionByName(reader.option("multiLine", False).json(lines))
+    return typed_places(places).withColumn("place_seq", F.monotonically_increasing_id())
+
+
+def review_identity() -> Column:
+    """A stable number for a review: a digest of its place and text."""
+    return F.xxhash64("place_id", "review_text")
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Flat reviews with their declared schema; a missing path is an error."""
-    return spark.read.schema(schemas.REVIEWS).parquet(path)
+    """Flat reviews with their declared schema and a ``review_id``; a missing path is an error.
+
+    The id is a digest of place and text, the identity by which reviews are merged, so it is the same in every run.
+    """
+    return spark.read.schema(schemas.REVIEWS).parquet(path).withColumn("review_id", review_identity())
+
 
+def _batch_scan(spark: SparkSession, path: str, skip_corrupt: bool) -> DataFrame:
+    return spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", skip_corrupt).parquet(path)
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
+
+def read_batches(spark: SparkSession, path: str, *, skip_corrupt: bool = False) -> DataFrame:
     """All review batches of a glob in one scan.
 
-    Columns are merged over the files, unreadable files are skipped, and the batch number comes from
-    the file path, so that a later dedupe has an explicit order.
+    Columns are merged over the files, and the batch number comes from the file path, so that a later dedupe has an
+    explicit order.  An unreadable file is an error unless ``skip_corrupt``; ``skipped_files`` then names it.
     """
-    raw = (
-        spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(path)
-        .select("*", F.col("_metadata.file_path").alias("_path"))
-    )
+    raw = _batch_scan(spark, path, skip_corrupt).select("*", F.col("_metadata.file_path").alias("_path"))
     number = F.regexp_extract("_path", r"batch_(\d+)_", 1)
     return raw.withColumn("batch", number.cast("int")).drop("_path")
 
 
-def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of the files that give no row when unreadable files are skipped."""
+    there = spark.read.format("binaryFile").load(path).select("path")
+    read = _batch_scan(spark, path, True).select(F.col("_metadata.file_path").alias("path")).distinct()
+    plain = F.regexp_replace("path", "^file:/+", "file:/")
+    return there.withColumn("key", plain).join(read.select(plain.alias("key")), "key", "left_anti").select("path")
+
+
+def read_coordinates(spark: SparkSession, path: str, *, skip_corrupt: bool = False) -> DataFrame:
     """The place columns that exist over all parsed batches, one schema."""
-    raw = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(path)
+    raw = _batch_scan(spark, path, skip_corrupt)
     present = [c for c in schemas.PLACE_COLUMNS if c in raw.columns]
     return raw.select(*present)
 
@@ -59,22 +98,10 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """Search queries, one per line: trimmed, without blank lines and lines that start with ``#``."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("position"))
-    kept = lines.filter(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
-    return kept.select(F.trim("value").alias("query"), "position")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a small scan that sits in a few large row groups.
-
-    A scan with at least two splits per core (anything of size on a cluster) is returned as it is,
-    so no large table is ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores, key)
+    """Search queries, one per line: stripped of white space, without blank lines and lines that start with ``#``."""
+    lines = spark.read.text(path).filter(~F.startswith("value", F.lit("#")))
+    stripped = lines.select(strip(F.col("value")).alias("query"), F.monotonically_increasing_id().alias("position"))
+    return stripped.filter(F.col("query") != "")
 
 
 def first_existing(spark: SparkSession, *paths: str) -> str | None:

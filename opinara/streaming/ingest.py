@@ -10,17 +10,17 @@ from opinara import schemas
 from opinara.functions.text import not_blank
 from opinara.operators.extract import explode_reviews
 from opinara.operators.ranking import keep_first
-from opinara.sources.readers import first_existing
+from opinara.sources.readers import first_existing, typed_places
 
 BUCKETS = 64
 
 
 def place_stream(spark: SparkSession, landing: str, *, files_per_batch: int | None = None) -> DataFrame:
-    """Raw place records as they land (JSON)."""
-    reader = spark.readStream.schema(schemas.RAW_PLACES)
+    """Raw place records as they land (JSON lines, or arrays on one line); a malformed line is an error."""
+    reader = spark.readStream.schema(schemas.RAW_PLACES_TEXT).option("mode", "FAILFAST")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(landing)
+    return typed_places(reader.json(landing))
 
 
 def extract_stream(places: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from opinara.functions.numbers import half_even
 from opinara.operators import extract, merge
 from opinara.schemas import RAW_PLACES, REVIEW_COLUMNS
@@ -34,12 +36,51 @@ def test_dialects_fallbacks_and_dedupe(spark, tmp_path):
     assert rows[0].__fields__ == REVIEW_COLUMNS
 
 
-def test_json_array_file_and_pretty_file(spark, tmp_path):
+def test_lines_arrays_and_pretty_arrays_in_one_folder(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(PLACES))
-    (tmp_path / "b.json").write_text(json.dumps(PLACES, indent=2))
-    assert readers.read_places(spark, str(tmp_path / "a.json")).count() == 3
-    assert readers.read_places(spark, str(tmp_path / "b.json"), pretty=True).count() == 3
-    assert readers.read_places(spark, str(tmp_path / "a.json")).drop("place_seq").schema == RAW_PLACES
+    (tmp_path / "b.json").write_text("\n \n" + json.dumps(PLACES, indent=2))
+    (tmp_path / "c.json").write_text("\n".join(json.dumps(p) for p in PLACES) + "\n\n")
+    places = readers.read_places(spark, str(tmp_path))
+    assert places.groupBy("title").count().collect() and {r["count"] for r in places.groupBy("title").count().collect()} == {3}
+    assert places.drop("place_seq").schema == RAW_PLACES
+    assert extract.explode_reviews(places, ["place_seq"]).count() == 3 * 5
+
+
+def test_malformed_line_is_an_error(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(PLACES[0]) + "\n{broken\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_places(spark, str(tmp_path)).collect()
+
+
+def test_review_arrays_as_text_and_with_stray_elements(spark, tmp_path):
+    odd = [{"title": "A", "place_id": "p1", "review_rating": "4.5", "user_reviews": json.dumps([1, {"text": "one"}, None, "x", [2]]),
+            "user_reviews_extended": [3, {"text": "two", "likes_count": 2}, None]},
+           {"title": "B", "place_id": "p2", "user_reviews": "{broken", "user_reviews_extended": [{"text": "three"}]}]
+    path = tmp_path / "odd.json"
+    path.write_text("\n".join(json.dumps(p) for p in odd))
+    rows = extract.extract_reviews(readers.read_places(spark, str(path)), ["place_seq"]).collect()
+    assert {(r.place_id, r.review_text) for r in rows} == {("p1", "one"), ("p1", "two"), ("p2", "three")}
+    assert {r.place_rating for r in rows if r.place_id == "p1"} == {4.5}
+
+
+def test_corrupt_batches_fail_or_are_named(spark, tmp_path):
+    for n in (1, 2):
+        spark.range(3).selectExpr("id", "'t' AS place_name").coalesce(1).write.parquet(str(tmp_path / f"batch_{n}_reviews.parquet"))
+    broken = tmp_path / "batch_3_reviews.parquet"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_text("no parquet")
+    glob = str(tmp_path / "batch_*_reviews.parquet")
+    with pytest.raises(Exception):
+        readers.read_batches(spark, glob).collect()
+    assert readers.read_batches(spark, glob, skip_corrupt=True).count() == 6
+    skipped = [r.path for r in readers.skipped_files(spark, glob).collect() if r.path.endswith("part-0.parquet")]
+    assert len(skipped) == 1 and "batch_3" in skipped[0]
+
+
+def test_query_list_strips_all_white_space(spark, tmp_path):
+    (tmp_path / "q.txt").write_text("\tclinic a \n\t\n#x\n  b\u00a0\n")
+    rows = readers.read_queries(spark, str(tmp_path / "q.txt")).orderBy("position").collect()
+    assert [r["query"] for r in rows] == ["clinic a", "b"]
 
 
 def test_arrays_as_json_text(spark):

@@ -13,7 +13,7 @@ from opinara.session import scratch_path
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: later reads survive a lost executor."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path, partitionBy=list(partition_by) or None)
+    df.write.parquet(path, partitionBy=list(partition_by) or None, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

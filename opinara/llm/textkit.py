@@ -90,7 +90,9 @@ def slices(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
     Rows are taken together up to about a megabyte, so memory depends on the longest text only.
     """
     at, size, held = 0, 0, []
-    for i, text in enumerate(texts.to_pylist()):
+    # A part of the batch at a time is held as Python strings.
+    values = (v for start in range(0, len(texts), 256) for v in texts.slice(start, 256).to_pylist())
+    for i, text in enumerate(values):
         encoded = b"" if text is None else text.encode()
         if held and size + len(encoded) > _SLICE_BYTES:
             yield at, i, _words(held, lower)

@@ -190,12 +190,19 @@ def test_lm_adds_up_and_learns(spark):
 
 def test_lm_shares_of_words_add_up(spark):
     """Over the known words of a class, and so over everything: one unknown word and the end are classes of their own."""
-    entries = spark.createDataFrame([(i, 1 + i % 9, i % lm.SHAPES) for i in range(500)] + [(-1, 50, 0), (900, 0, 3)],
-                                    "word long, n long, shape int")
-    vocabulary, n, v = lm._vocabulary(entries)
-    assert (n, v) == (50 + sum(1 + i % 9 for i in range(500)), 501)
-    sums = vocabulary.filter("n > 0").groupBy("class").agg(F.sum(F.pow(F.lit(10.0), "log_share")).alias("s")).collect()
-    assert all(r["s"] == pytest.approx(1) for r in sums)
+    rows = [(b, i, 1 + (i * b) % 9, i % lm.SHAPES, i) for i in range(500) for b in (1, 2)]
+    rows += [(1, 500 + i, 70 + i, 3, 600 + i) for i in range(40)] + [(1, 900, 50, -1, -1), (1, 901, 0, 3, 901)]
+    entries = spark.createDataFrame(rows, "block long, place int, n long, shape int, word long")
+    totals = lm._totals(entries)
+    v = lm._vocabulary(totals)
+    assert v.train_tokens == sum(r[2] for r in rows) and v.distinct == 541 and len(v.frequent) == lm.FREQUENT
+    once = totals.filter("first").toPandas()
+    counts, shapes = once["n"].to_numpy(), once["shape"].to_numpy()
+    classes = v.classes(once["word"].fillna(0).to_numpy().astype(np.int64), counts, shapes)
+    shares = 10 ** v.log_shares(counts, classes)
+    for c in set(classes.tolist()) - {lm.UNKNOWN}:
+        assert shares[(classes == c) & (counts > 0)].sum() == pytest.approx(1)
+    assert classes[shapes == -1].tolist() == [lm.END] and (classes[counts == 0] == lm.UNKNOWN).all()
 
 
 def test_lm_empty(empty):

@@ -27,8 +27,8 @@ _FIRST = 0x100
 _TO_BYTES = {_FIRST + b: b for b in range(256)}
 _TO_PIECES = {b: _FIRST + b for b in range(256)}
 # Distinct pre-tokens whose ids a Python worker remembers, and the longest that it does.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
-_BATCH_ROWS = 512
+REMEMBERED, REMEMBERED_LENGTH = 100_000, 64
+_BATCH_ROWS = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -140,6 +140,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") ->
                 arrays = [*batch.columns[:-1], token_ids, pa.array(counts, pa.int64()), pa.array(ids_sha),
                           pa.array(decoded_sha)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
+        codec.known.clear()  # the worker process lives on
 
     kept = df.select(*(named(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)),
                      named(df, text).cast("string").alias("t"))

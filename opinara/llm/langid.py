@@ -29,7 +29,7 @@ HOST_WEIGHT, SUFFIX_WEIGHT, TABLE_WEIGHT = 20.0, 50.0, 5.0
 #: Rows below this posterior probability are rejected, and texts with fewer letters.
 LEAST_PROBABILITY, LEAST_LETTERS = 0.5, 1
 MOST_LANGUAGES = 256
-_SLICE_CHARS = 1 << 18
+_SLICE_CHARS, _SLICE_ROWS = 1 << 18, 256
 
 
 @dataclass(frozen=True)
@@ -54,8 +54,17 @@ def _letters() -> np.ndarray:
 _LETTERS = _letters()
 
 
-def trigrams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(from_row, rows, buckets, letters per row)``: letter trigrams with word edges, over whole texts."""
+def trigrams(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(from_row, rows, buckets, letters per row)``: letter trigrams with word edges, over whole texts.
+
+    A part of the batch at a time is held as Python strings.
+    """
+    for start in range(0, len(texts), _SLICE_ROWS):
+        for at, *rest in _trigrams(texts.slice(start, _SLICE_ROWS).to_pylist()):
+            yield start + at, *rest
+
+
+def _trigrams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     at = 0
     while at < len(texts):
         stop, size = at, 0
@@ -87,7 +96,7 @@ def fit(df: DataFrame, text: str, label: str) -> TextModel:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             labels = np.array(batch.column(0).to_pylist(), object)
-            for start, rows, buckets, _ in trigrams(batch.column(1).to_pylist()):
+            for start, rows, buckets, _ in trigrams(batch.column(1)):
                 of = labels[start + rows]
                 for language in set(of.tolist()):
                     table = counts.setdefault(language, np.zeros(BUCKETS, np.int64))
@@ -119,7 +128,7 @@ def _with_text_evidence(df: DataFrame, model: TextModel, text: str, evidence: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, counts = np.zeros((batch.num_rows, n_languages)), np.zeros(batch.num_rows, np.int64)
-            for start, rows, buckets, n in trigrams(batch.column(batch.num_columns - 1).to_pylist()):
+            for start, rows, buckets, n in trigrams(batch.column(batch.num_columns - 1)):
                 counts[start : start + len(n)] = n
                 if len(rows):
                     first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))

@@ -77,8 +77,7 @@ def matches(text: Column, notices: Mapping[str, str] = NOTICES, threshold: float
     bounds = {name: size_bounds(len(s), threshold) for name, s in sets.items()}
     least, most = min(low for low, _ in bounds.values()), max(high for _, high in bounds.values())
 
-    def bigrams(part: Column) -> Column:
-        words = F.split(part, " ")
+    def bigrams(words: Column) -> Column:
         return F.array_distinct(F.zip_with(
             F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1),
             lambda a, b: F.concat_ws(" ", a, b)))
@@ -94,7 +93,11 @@ def matches(text: Column, notices: Mapping[str, str] = NOTICES, threshold: float
 
     # Each step is a pass of its own, so that nothing is evaluated once for each notice.
     long_enough = F.filter(parts(text), lambda p: F.length(F.regexp_replace(p, "[^ ]+", "")) >= least)
-    with_sets = F.transform(long_enough, lambda p: F.struct(p.alias("part"), bigrams(p).alias("bigrams")))
+    # Where a line ended in a sign, two blanks meet.
+    with_words = F.transform(long_enough, lambda p: F.struct(
+        p.alias("part"), F.array_remove(F.split(p, " "), "").alias("words")))
+    with_sets = F.transform(with_words, lambda p: F.struct(
+        p["part"].alias("part"), F.when(F.size(p["words"]) > 1, bigrams(p["words"])).alias("bigrams")))
     fitting = F.filter(with_sets, lambda p: F.size(p["bigrams"]).between(least, most))
     close = F.filter(F.transform(fitting, closest), lambda p: p["best"]["dice"] >= threshold)
     found = F.transform(close, lambda p: F.struct(

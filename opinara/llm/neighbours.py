@@ -74,7 +74,8 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
             level = np.full(len(some), -np.inf)
         for i in range(len(some)):
             rerank = np.flatnonzero((upper[i] >= level[i]) & ~own[i])
-            scores = vectors[rerank] @ some[i]
+            # Row by row, so that copies get the same score to the last bit and their ids decide.
+            scores = (vectors[rerank] * some[i]).sum(axis=1)
             order = np.lexsort((ids[rerank], -scores))[:k]
             yield at + i, ids[rerank][order], scores[order]
 

@@ -48,7 +48,7 @@ docs AS (
 parts AS (
     SELECT DISTINCT r, trim(replace(unnest(string_split(t, chr(10)) || regexp_split_to_array(t, '\\n ?\\n') || [t]), chr(10), ' ')) AS part
     FROM docs),
-words AS (SELECT r, part, string_split(part, ' ') AS w FROM parts WHERE part <> ''),
+words AS (SELECT r, part, list_filter(string_split(part, ' '), lambda x: x <> '') AS w FROM parts WHERE part <> ''),
 grams AS (
     SELECT r, part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
     FROM words WHERE len(w) > 1 AND len(w) < 5000),

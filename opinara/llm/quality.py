@@ -119,12 +119,17 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
 
 
-def measure(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
-    """The columns ``keep`` and the facts of each whole text (null: no words)."""
+def _measured(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """Columns ``k0``, ``k1``, ... for those of ``keep``, and the facts of each whole text."""
     kept = [named(df, c).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = df.select(*kept, named(df, text).cast("string").alias("t"))
     kinds = [f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]
-    facts = rows.mapInArrow(_facts, ", ".join([*kinds, *(f"{f} long" for f in FACTS)]))
+    return rows.mapInArrow(_facts, ", ".join([*kinds, *(f"{f} long" for f in FACTS)]))
+
+
+def measure(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns ``keep`` and the facts of each whole text (null: no words)."""
+    facts = _measured(df, text, keep)
     return facts.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *FACTS)
 
 
@@ -209,10 +214,8 @@ def judge(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFram
     gives an empty one.  Equal rows get equal results.  Existing columns of these names are kept: the new ones then
     get a suffix.
     """
-    facts = measure(df, text, df.columns)
     model = fit(measure(df, text))
-    probability = model.probability()
-    quality = fresh(df, "quality")
-    return facts.withColumn(quality, probability).withColumn(
-        fresh(df, "quality_kept"), F.col(quality) >= threshold
-    ).drop(*(c for c in FACTS if c not in df.columns))
+    facts = _measured(df, text, df.columns).withColumn("q", model.probability())
+    return facts.select(
+        *(F.col(f"k{i}").alias(c) for i, c in enumerate(df.columns)), F.col("q").alias(fresh(df, "quality")),
+        (F.col("q") >= threshold).alias(fresh(df, "quality_kept")))

@@ -109,7 +109,7 @@ def scan_paths(df: DataFrame, ledger_path: str, text: str = "text", rules: Seque
         ledger = spark.read.schema(LEDGER).parquet(ledger_path)
     else:
         ledger = spark.createDataFrame([], LEDGER)
-    blob, findings = fresh(df, "_blob"), fresh(df, "findings")
+    blob, findings, hit = fresh(df, "_blob"), fresh(df, "findings"), fresh(df, "_hit")
     content = F.coalesce(named(df, text).cast("string"), F.lit(""))
     addressed = df.withColumn(blob, F.sha2(content, 256))
     scan(addressed.select(F.col(blob).alias("blob"), content.alias("text")), ledger, rules).write.mode("append").parquet(
@@ -121,10 +121,10 @@ def scan_paths(df: DataFrame, ledger_path: str, text: str = "text", rules: Seque
                                                     F.col("rule").alias("kind"), s["end"].alias("end")))
     by_blob = hits.select("blob", spans.alias("s")).groupBy("blob").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s")).select(
-        F.col("blob").alias("_hit"),
+        F.col("blob").alias(hit),
         F.transform("s", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"),
                                             s["end"].alias("end"))).alias(findings))
-    joined = addressed.join(by_blob, F.col(blob) == F.col("_hit"), "left").drop("_hit", blob)
+    joined = addressed.join(by_blob, F.col(blob) == F.col(hit), "left").drop(hit, blob)
     none = F.lit([]).cast("array<struct<kind:string,start:int,end:int>>")
     return joined.withColumn(findings, F.coalesce(F.col(findings), none))
 

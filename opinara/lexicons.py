@@ -190,11 +190,6 @@ def default_stop_words(spark: SparkSession) -> list[str]:
     return sorted(set(english) | set(MALAY_INDONESIAN_STOP_WORDS))
 
 
-def aspect_table(spark: SparkSession, aspects: Mapping[str, Sequence[str]] = ASPECTS) -> DataFrame:
-    """The lexicon as a two-column table, in lexicon order."""
-    rows = [(aspect, word) for aspect, words in aspects.items() for word in words]
-    return spark.createDataFrame(rows, "aspect string, keyword string")
-
 
 def recommendation_table(
     spark: SparkSession, templates: Mapping[str, tuple[str, Sequence[str]]] = RECOMMENDATIONS

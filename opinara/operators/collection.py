@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara import lexicons
+
 MAX_ATTEMPTS = 3
 
 
+def default_areas(spark: SparkSession) -> DataFrame:
+    """The areas that are searched when none are given (``area``)."""
+    return spark.createDataFrame([(area,) for area in lexicons.AREAS], "area string")
+
+
+def default_centres(spark: SparkSession) -> DataFrame:
+    """The centres that are searched when none are given (``centre``)."""
+    return spark.createDataFrame([(centre,) for centre in lexicons.GEO_CENTRES], "centre string")
+
+
 def area_queries(areas: DataFrame, keywords: Sequence[str]) -> DataFrame:
     """Distinct ``"<keyword> in <area>"``: each area row yields one row per keyword (a fixed list)."""
     terms = F.array(*[F.lit(k) for k in keywords])
@@ -17,8 +29,9 @@ def area_queries(areas: DataFrame, keywords: Sequence[str]) -> DataFrame:
     return pairs.select(F.concat_ws(" in ", "keyword", "area").alias("query")).distinct()
 
 
-def expansion_queries(areas: DataFrame, niches: dict[str, Sequence[str]]) -> DataFrame:
-    """``area_queries`` over the keywords of several niches."""
+def expansion_queries(areas: DataFrame, niches: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """``area_queries`` over the keywords of several niches (by default all known ones)."""
+    niches = lexicons.NICHES if niches is None else niches
     return area_queries(areas, list(dict.fromkeys(k for words in niches.values() for k in words)))
 
 

@@ -96,11 +96,10 @@ def recommendations(
 ) -> DataFrame:
     """Severity, title and actions per complaint aspect.
 
-    Everything downstream of the complaints has one row per lexicon aspect, so the template table is
-    small by construction; an aspect without a template gets generated text.
+    An aspect without a template gets generated text.
     """
     table = lexicons.recommendation_table(complaints.sparkSession, templates)
-    joined = complaints.join(F.broadcast(table), "aspect", "left")
+    joined = complaints.join(table, "aspect", "left")
     aspect = F.col("aspect")
     generic = F.array(
         F.concat(F.lit("Investigate customer complaints about "), aspect),

@@ -47,8 +47,7 @@ def select_places(df: DataFrame, places: Sequence[str] = (), default: int = 6) -
         df.filter(F.col("place_name").isNotNull()).select("place_name").distinct()
         .orderBy("place_name").limit(default)
     )
-    # At most ``default`` names.
-    return df.join(F.broadcast(first), "place_name", "left_semi")
+    return df.join(first, "place_name", "left_semi")
 
 
 def leaderboard(summary: DataFrame, n: int = 10, podium: int = 3) -> DataFrame:

@@ -39,10 +39,10 @@ def preprocess_reviews(
 def fetch_texts(winners: DataFrame, df: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """Attach ``place_name`` and ``clean_text`` to a handful of ranked ``review_id`` rows.
 
-    ``winners`` is bounded by the caller (n rows per group of a fixed set).  With ``raw`` reviews the
+    Whether ``winners`` (n rows per group) is broadcast is left to Spark's size check.  With ``raw`` reviews the
     few texts are cleaned anew, so the analysis behind ``df`` is not evaluated a second time.
     """
     if raw is None:
-        return df.select("review_id", "place_name", "clean_text").join(F.broadcast(winners), "review_id")
-    rows = raw.select("review_id", "place_name", "review_text").join(F.broadcast(winners), "review_id")
+        return df.select("review_id", "place_name", "clean_text").join(winners, "review_id")
+    rows = raw.select("review_id", "place_name", "review_text").join(winners, "review_id")
     return text.with_clean_text(rows, "review_text").drop("review_text")

@@ -59,7 +59,8 @@ def merge_batch(batch: DataFrame, sink: str, order_by: list[str], buckets: int =
         touched = [row.bucket for row in with_identity(kept, buckets).select("bucket").distinct().collect()]
         history = spark.read.parquet(sink).filter(F.col("bucket").isin(touched)).select("identity")
         fresh = fresh.join(history, "identity", "left_anti")
-    fresh.write.mode("append").partitionBy("bucket").parquet(sink)
+    # One writer for each touched bucket, so a micro-batch adds one file there.
+    fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(sink)
 
 
 def start_merge(

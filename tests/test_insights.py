@@ -135,3 +135,15 @@ def test_capture_rate_without_claims(spark):
     row = growth.capture_rate(places, reviews).first()
     assert (row.places, row.avg_capture_pct) == (2, 25.0)
     assert {r.place_name: r.coverage for r in growth.thin_places(places, reviews).collect()} == {"a": "few", "b": "few", "c": "none"}
+
+
+def test_default_areas_and_centres(spark):
+    from opinara import lexicons
+    from opinara.operators import collection
+
+    niches = sum(len(set(words)) for words in lexicons.NICHES.values())
+    queries = collection.expansion_queries(collection.default_areas(spark))
+    assert queries.count() <= niches * len(lexicons.AREAS) and queries.filter("query LIKE '% in Cyberjaya'").count() > 0
+    covered = collection.max_coverage_queries(
+        collection.default_areas(spark), lexicons.CLINIC_KEYWORDS, collection.default_centres(spark), "clinic")
+    assert covered.filter("query LIKE 'clinic @%,14z'").count() == len(lexicons.GEO_CENTRES)

@@ -27,10 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id cannot be chosen by it and stay.
     """
     docs = docs.select(*COLUMNS)
-    kept = jaccard.components(docs).filter("doc_id IS NULL OR doc_id = component_id").select(
-        F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return chosen.distinct()
+    kept = jaccard.components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    # Rows of one id lie together after the join, so equal rows are found without moving texts again.
+    chosen = docs.filter("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), "doc_id", "left_semi").distinct()
+    return chosen.unionByName(docs.filter("doc_id IS NULL").distinct())
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -228,6 +228,16 @@ def test_sharding_is_exact_and_repeats(spark, awkward, empty):
     assert sharding.shard_rows(empty).count() == 0
 
 
+def test_sharding_carries_all_columns(spark, awkward, empty):
+    got = sharding.shard(_clashing(awkward, "shard", "grp"), group_rows=5)
+    assert got.columns[:-2] == [*awkward.columns, "shard", "grp"] and got.columns[-1] == "slot"
+    carried = [tuple(r)[:5] for r in got.collect()]
+    assert sorted(carried, key=str) == sorted(map(tuple, awkward.collect()), key=str)
+    plan = sharding.shard_rows(awkward)._jdf.queryExecution().optimizedPlan().toString()
+    assert "crc32" in plan.split("Window", 1)[0]  # the digest is that of the text in the shard
+    assert sharding.shard(empty).count() == 0
+
+
 def test_matrix_has_the_hypergeometric_law():
     draws = np.array([sharding.communication_matrix([30, 50, 20], [40, 60], seed)[0, 0] for seed in range(4000)])
     mean, variance = 30 * 0.4, 30 * 0.4 * 0.6 * 70 / 99

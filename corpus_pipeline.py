@@ -22,15 +22,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked ones; equal rows become one.
+    """The document with the smallest id of each group of linked ones, one without an id only if none has one.
 
-    Rows without an id cannot be chosen by it and stay.
+    Links are those of five words and 0.8.  Rows are told apart by a hash of all columns, so rows without an id and
+    rows that share one are compared like any others; equal rows become one.
     """
-    docs = docs.select(*COLUMNS)
-    kept = jaccard.components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    # Rows of one id lie together after the join, so equal rows are found without moving texts again.
-    chosen = docs.filter("doc_id IS NOT NULL").join(kept.hint("shuffle_hash"), "doc_id", "left_semi").distinct()
-    return chosen.unionByName(docs.filter("doc_id IS NULL").distinct())
+    nulls = F.concat(*(F.isnull(c).cast("string") for c in COLUMNS))
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS, nulls))
+    groups = jaccard.components(docs, identity="_row", width=5, threshold=jaccard.Threshold(80, 100)).select(
+        F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    ids = docs.select("_row", "doc_id")
+    first = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "_row")
+    kept = groups.join(ids, "_row").groupBy("_group").agg(F.min(first)["_row"].alias("_row")).select("_row")
+    # Rows of one hash lie together after the join, so equal rows are found without moving texts again.
+    return docs.join(kept.hint("shuffle_hash"), "_row", "left_semi").distinct().select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

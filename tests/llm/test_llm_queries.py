@@ -76,6 +76,29 @@ def test_pipeline_against_brute_force(spark):
     assert left.filter(F.size("findings") > 0).count() == 0
 
 
+def test_near_duplicates_of_five_words_and_any_id(spark):
+    def text(seed):
+        return [f"w{seed}x{i}" for i in range(60)]
+
+    def changed(words, *at):
+        return [f"other{i}" if i in at else w for i, w in enumerate(words)]
+
+    a, b, c, d, e = (text(s) for s in range(5))
+    between = changed(a, 2, 58)
+    for width, linked in ((4, False), (5, True)):
+        one, other = (brute.shingles(" ".join(t), width) for t in (a, between))
+        assert (len(one & other) / len(one | other) >= (0.8 if width == 5 else 0.85)) == linked
+    rows = [(1, a), (2, between), (None, b), (None, changed(b, 59)), (3, c), (None, changed(c, 59)), (4, d), (4, changed(d, 59)),
+            (5, e), (6, changed(e, 20, 40)), (None, None), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, t and " ".join(t), "en", "a", None) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF_DIR).collect()]
+    plain = {(i, t and " ".join(t)) for i, t in rows}
+    assert len(got) == len(set(got)) and set(got) <= plain
+    by_id = collections.Counter(i for i, _ in got)
+    assert by_id == {1: 1, None: 2, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+
+
 def test_stages_keep_columns_and_take_awkward_rows(spark):
     kind = "doc_id long, text string, lang string, source string, n_chars long, extra string"
     rows = [(1, "the cat sat on the mat", "en", "a", 22, "x"), (1, "the cat sat on the mat", "en", "a", 22, "x"),

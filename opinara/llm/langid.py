@@ -5,6 +5,9 @@ likely the declared language and the address suffix are in each language, and th
 priors are smoothed towards the suffix, suffix priors towards the corpus; all come from grouped aggregates of
 what the text alone says.  Evidence that a row lacks (null) adds nothing.
 
+A text may be in none of the languages: beside them stands a model in which all trigrams are alike, with a small prior
+of its own.  Foreign scripts and random letters are likelier under it, and no other evidence speaks for or against it.
+
 Trigrams of one text depend on each other, so their likelihood is tempered: a text of n trigrams counts as
 ``n / (1 + n / TEMPER)`` independent ones, each with the text's mean likelihood.
 """
@@ -28,6 +31,8 @@ TEMPER = 40.0
 HOST_WEIGHT, SUFFIX_WEIGHT, TABLE_WEIGHT = 20.0, 50.0, 5.0
 #: Rows below this posterior probability are rejected, and texts with fewer letters.
 LEAST_PROBABILITY, LEAST_LETTERS = 0.5, 1
+#: Prior share of texts in no known language.
+UNKNOWN = 0.01
 MOST_LANGUAGES = 256
 _SLICE_CHARS, _SLICE_ROWS = 1 << 18, 256
 
@@ -41,9 +46,9 @@ class TextModel:
 
 
 def _letters() -> np.ndarray:
-    """Lower-case letter of each BMP code point, 32 for all that is no letter."""
-    table = np.full(0x10000, 32, np.uint32)
-    for code in range(0x10000):
+    """Lower-case letter of each code point, 32 for all that is no letter."""
+    table = np.full(0x110000, 32, np.uint32)
+    for code in range(0x110000):
         c = chr(code)
         if c.isalpha():
             low = c.lower()
@@ -74,7 +79,7 @@ def _trigrams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.nda
         some = [t or "" for t in texts[at:stop]]
         codes = np.frombuffer(("  ".join(some) + "  ").encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(t) + 2 for t in some])
-        letters = np.where(codes < 0x10000, _LETTERS[np.minimum(codes, 0xFFFF)], codes)
+        letters = _LETTERS[codes]
         rows = np.searchsorted(ends, np.arange(len(codes)), side="right")
         is_letter = letters != 32
         middle = np.flatnonzero(is_letter)
@@ -147,6 +152,11 @@ def _with_text_evidence(df: DataFrame, model: TextModel, text: str, evidence: st
                       F.col("e").alias(evidence), F.col("l").alias(letters))
 
 
+def _unknown(letters: Column) -> Column:
+    """Tempered log likelihood of so many letters under the model of no known language, with its prior."""
+    return float(np.log(UNKNOWN / (1 - UNKNOWN))) - float(np.log(BUCKETS)) * letters / (1 + letters / TEMPER)
+
+
 def _first_of_largest(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores)).cast("int")
 
@@ -156,7 +166,8 @@ def identify(df: DataFrame, text: str = "text", host: str | None = None, declare
     """All rows and columns of ``df`` plus ``language``, ``probability`` and ``accepted``.
 
     ``host``, ``declared`` and ``suffix`` name columns of evidence; ``label`` names the column to learn text
-    likelihoods from unless ``model`` is given.  A text without letters (null and empty ones too) is rejected and
+    likelihoods from unless ``model`` is given.  ``probability`` is that of ``language``, with no known language as
+    one more alternative.  A text without letters (null and empty ones too) is rejected and
     has no language.  Ties go to the language first in order.  Without any language to choose from, nothing is
     accepted.  Equal rows get equal results, an empty table gives an empty one, and clashing names get a suffix.
     """
@@ -172,7 +183,8 @@ def identify(df: DataFrame, text: str = "text", host: str | None = None, declare
     clues = {"host": host, "declared": declared, "suffix": suffix}
     narrow = df.select(*(F.lit(None).cast("string").alias(k) if c is None else named(df, c).cast("string").alias(k)
                          for k, c in clues.items()), named(df, text).cast("string").alias("text"))
-    said = _with_text_evidence(narrow, model, "text", "e", "l").filter(F.col("l") >= LEAST_LETTERS)
+    said = _with_text_evidence(narrow, model, "text", "e", "l").filter(
+        (F.col("l") >= LEAST_LETTERS) & (F.array_max("e") >= _unknown(F.col("l"))))
     votes = said.groupBy("host", "suffix", "declared", (_first_of_largest(F.col("e")) - 1).alias("k")).agg(
         F.count("*").alias("n"))
     votes = written(votes, "language-votes")
@@ -233,7 +245,8 @@ def identify(df: DataFrame, text: str = "text", host: str | None = None, declare
     posterior = fresh(df, "_posterior")
     scored = scored.withColumn(posterior, total)
     top = F.array_max(posterior)
-    mass = F.aggregate(posterior, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    mass = F.aggregate(posterior, F.lit(0.0), lambda a, x: a + F.exp(x - top)) + F.exp(
+        _unknown(F.col(letters)) - top)
     lettered = F.col(letters) >= LEAST_LETTERS
     named_language = F.element_at(F.lit(languages), _first_of_largest(F.col(posterior)))
     done = scored.withColumns({

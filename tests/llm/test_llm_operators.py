@@ -92,6 +92,21 @@ def test_language_awkward(awkward, empty):
     assert langid.identify(empty, host="source", declared="lang", label="lang").count() == 0
 
 
+def test_texts_in_no_known_language_go(spark):
+    docs = _bilingual(spark)
+    model = langid.fit(docs, "text", "lang")
+    random.seed(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    strange = ["这是一个没有人认识的语言的文本" * 5, "ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำ" * 5, "🤖🎉😀" * 20, "это неизвестный язык для модели " * 5,
+               " ".join("".join(random.choices(letters, k=6)) for _ in range(60))]
+    known = ["the and that with this", "nicht auch sich über eine", "the and"]
+    rows = [(i, t, None, "host-en" if i % 2 else None, None) for i, t in enumerate(strange + known)]
+    got = langid.identify(spark.createDataFrame(rows, DOCS), host="source", declared="lang", model=model).collect()
+    assert {r["doc_id"]: r["accepted"] for r in got} == {i: i >= len(strange) for i in range(len(rows))}
+    kept = langid.identify(docs, host="source", declared="lang", label="lang").filter("accepted").count()
+    assert kept == docs.count()
+
+
 def test_trigrams_see_whole_texts():
     (start, rows, _, counts), = langid.trigrams(pa.array(["ab c", None, "", "Ünd"]))
     assert start == 0 and counts.tolist() == [3, 0, 0, 3] and rows.tolist() == [0, 0, 0, 3, 3, 3]

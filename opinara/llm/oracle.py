@@ -59,3 +59,26 @@ best AS (SELECT r, part, max(dice) AS dice, arg_min(name, (-dice, name)) AS name
 SELECT doc_id, count(part)::BIGINT AS n_matches, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice,
        coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS licences
 FROM docs LEFT JOIN best USING (r) GROUP BY r, doc_id"""
+
+
+def hard_negatives() -> str:
+    """All scores of the anchors by brute force."""
+    return """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scores AS (
+    SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+    SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score
+    FROM scores WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND n.label <> p.own
+WHERE 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY rank <= 3"""

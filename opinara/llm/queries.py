@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, jaccard, langid, licences, lm, mixing, neighbours, oracle, quality, secrets, sharding
+from opinara.llm import (
+    bpe, jaccard, langid, licences, lm, mixing, negatives, neighbours, oracle, packing, periods, quality, secrets, sharding,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -154,3 +156,54 @@ ORACLE["op7_licence_scan"] = oracle.licence_scan()
 @query
 def op10_nearest_neighbours(spark, sf_dir):
     return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_packing(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    finite = F.forall("embedding", lambda x: F.abs(x) < float("inf"))
+    rows = rows.select("vec_id", label.alias("label"), F.when(finite, whole).alias("vector"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op12_hard_negatives"] = oracle.hard_negatives()
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """Every tenth document by a hash of its id gets a periodic end, as the contract of op13 lays down."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.withColumns({"_g": F.floor(h / 10), "_words": F.when(h % 10 == 0, words)})
+    n = F.size("_words")
+    docs = docs.withColumn("_a", F.when(n > 0, F.col("_g") % n).cast("int"))
+    docs = docs.withColumn("_p", (1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    place = F.sequence(F.lit(0), n - 1)
+    moved = F.transform(place, lambda i: F.get("_words", F.when(i < F.col("_a"), i).otherwise(
+        F.col("_a") + (i - F.col("_a")) % F.col("_p"))))
+    return docs.select("doc_id", F.when(n > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    found = periods.detect(_planted(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    runs = F.col("runs")
+    longest = F.sort_array(F.transform(runs, lambda r: F.struct(
+        (-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    first = F.get(longest, F.lit(0))
+    lines = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size(runs) > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("first", first).select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), F.col("first.s").alias("start"), (-F.col("first.l")).alias("length"),
+        F.col("first.p").alias("period"),
+        F.expr("(1000 * -first.l) div first.p").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -17,7 +17,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_one_query_for_each_operator():
     numbers = [int(n[2:].split("_")[0]) for n in REGISTRY if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(driver.queries()) >= {*REGISTRY, "pipeline"} and [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
 
 

@@ -29,8 +29,10 @@ WINDOW, PACKET, END_ID = 2_048, 256, 1
 #: Shares are whole parts of this number; a source's share is at least one part.
 PARTS = 10**7
 #: Words whose ids a Python worker remembers, and the longest (in bytes) that it does.
-REMEMBERED, REMEMBERED_LENGTH = 150_000, 48
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 48
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]*")
+#: ASCII marks that are neither letters, digits nor the apostrophe, which the pattern treats by what follows.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SEED = "pack-1"
 NAMES = ["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
@@ -40,7 +42,7 @@ class WordIds(dict):
 
     Its normaliser and word pattern never join what an ASCII blank separates, so a text's ids are those of its
     words in turn.  Words of letters of the first two Unicode blocks and closing marks skip normaliser and pattern: they are
-    lowered, mapped to the byte alphabet and merged by the tokenizer's model.
+    lowered, mapped to the byte alphabet and merged by the tokenizer's model.  Special tokens are found as the library does.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -52,30 +54,37 @@ class WordIds(dict):
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
-        self.parts: dict[str, bytes] = {}
+        # The packed form of every single id.
+        self.packed = [i.tobytes() for i in np.arange(self.tokenizer.get_vocab_size()).astype(self.kind)]
 
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
+    def _part(self, part: bytes) -> bytes:
+        """Ids of letters in lower case, or of marks: one word of the tokenizer's pattern."""
+        ids = self.get(part)
         if ids is None:
-            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
-            if len(part) <= REMEMBERED_LENGTH:
-                if len(self.parts) >= REMEMBERED:
-                    self.parts.clear()
-                self.parts[part] = ids
+            spelled = part.decode() if part.isascii() else part.decode("latin-1").translate(self.alphabet)
+            ids = b"".join([self.packed[t.id] for t in self.model.tokenize(spelled)])
+            self._remember(part, ids)
         return ids
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text)
-        if plain:
-            ids = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _remember(self, word: bytes, ids: bytes) -> None:
         if len(word) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[word] = ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        letters = word.rstrip(_MARKS)
+        marks = word[len(letters):]
+        if letters.isalpha():
+            lower = letters.lower()
+        else:
+            text = letters.decode()
+            lower = text.lower().encode() if _LETTERS.fullmatch(text) else None
+        if lower is None:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        else:
+            ids = (self._part(lower) if lower else b"") + (self._part(marks) if marks else b"")
+        self._remember(word, ids)
         return ids
 
     def encode(self, text: bytes) -> bytes:
@@ -182,7 +191,8 @@ def pack(df: DataFrame, tokenizer_path: str, identity: str = "doc_id", text: str
     pieces = _pieces(streamed, _tail(total, window), window)
     grouped = pieces.groupBy("row").agg(F.sort_array(F.collect_list(
         F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
-    return _sliced(tokens.join(grouped, "row").select("doc_id", "source", "n", "ids", "pieces"))
+    # Ids meet their pieces by a shuffle at every size.
+    return _sliced(tokens.join(grouped.hint("merge"), "row").select("doc_id", "source", "n", "ids", "pieces"))
 
 
 def _pieces(streamed: DataFrame, tail: list[int], window: int) -> DataFrame:

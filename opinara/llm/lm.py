@@ -25,7 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -278,11 +278,24 @@ def _sum_rows(rows: np.ndarray, values: np.ndarray, into: np.ndarray) -> None:
     into[rows[starts]] += np.add.reduceat(values[order], starts, axis=0)
 
 
-def _table_sums(counts: DataFrame, weights: np.ndarray | None) -> np.ndarray:
+def _packed(weights: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers and single-precision values of the rows that are not zero; only these are sent to tasks."""
+    rows = np.flatnonzero(weights.any(axis=1)).astype(np.int32)
+    return rows.tobytes(), weights[rows].astype(np.float32).tobytes()
+
+
+def _unpacked(packed: tuple[bytes, bytes]) -> np.ndarray:
+    table = np.zeros((ROWS, CLASSES))
+    table[np.frombuffer(packed[0], np.int32)] = np.frombuffer(packed[1], np.float32).reshape(-1, CLASSES)
+    return table
+
+
+def _table_sums(counts: DataFrame, sent: Broadcast | None) -> np.ndarray:
     """Observed counts (without weights) or expected ones of every weight, added up by Spark in chunks of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((ROWS, CLASSES))
+        weights = None if sent is None else _unpacked(sent.value)
         for batch in batches:
             history, word_class, n = (c.to_numpy() for c in batch.columns)
             histories, at = np.unique(history.astype(np.int64), return_inverse=True)
@@ -326,14 +339,17 @@ def train(counts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     weights = np.zeros((ROWS, CLASSES))
     weights[-1] = np.log(observed[-1] + 1e-3)
     for _ in range(rounds):
-        expected = _table_sums(counts, weights)
+        # Each round's weights leave the driver's and the executors' disks before the next round's are sent.
+        sent = counts.sparkSession.sparkContext.broadcast(_packed(weights))
+        expected = _table_sums(counts, sent)
+        sent.destroy()
         weights += np.clip(STEP * (observed - expected) / (expected + SMOOTHING), -1, 1)
     return weights
 
 
 @lru_cache(maxsize=1)
-def _cell_scores(weights: bytes) -> np.ndarray:
-    table = np.frombuffer(weights, np.float32).reshape(ROWS, CLASSES)
+def _cell_scores(weights: tuple[bytes, bytes]) -> np.ndarray:
+    table = _unpacked(weights)
     out = np.empty((HISTORIES, CLASSES), np.float32)
     for start in range(0, HISTORIES, 16_384):
         histories = np.arange(start, min(start + 16_384, HISTORIES))
@@ -360,10 +376,10 @@ def score(df: DataFrame, is_held_out: Column, identity: str = "doc_id", text: st
     train_tokens = vocabulary.train_tokens
     cells = written(_cells(tokenised, totals, vocabulary), "cells")
     counts = written(_cell_counts(cells), "cell-counts")
-    weights = train(counts).astype(np.float32).tobytes()
+    sent = df.sparkSession.sparkContext.broadcast(_packed(train(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _cell_scores(weights)
+        table = _cell_scores(sent.value)
         for batch in batches:
             lists = batch.column(6)
             values = lists.flatten().to_numpy(zero_copy_only=False)

@@ -3,8 +3,9 @@
 Lines, paragraphs and the whole text are normalised (ASCII letters lower-cased, anything but letters, digits and line
 ends becomes a space) and compared as sets of word bigrams.  Dice >= t needs sizes a and b with
 ``t / (2 - t) <= a / b <= (2 - t) / t``, so a part is compared only with notices of a fitting size, and a part that
-fits none is dropped before its bigrams are built.  All work is built-in functions inside the row, without a
-shuffle of texts.
+fits none is dropped before its bigrams are built.  A close part shares so many bigrams with a notice that it holds one of
+any ``size - least overlap + 1`` of the notice's; a text without both words of such a bigram, for every notice, is
+not normalised at all.  All work is built-in functions inside the row, without a shuffle of texts.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,12 +66,41 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return math.ceil(size * ratio - 1e-9), math.floor(size / ratio + 1e-9)
 
 
+def required_bigrams(sets: Mapping[str, list[str]], threshold: float) -> list[tuple[str, str]]:
+    """Bigrams of which every part that is close to a notice holds at least one: a prefix of each notice's set.
+
+    Any order of the set will do; bigrams of long words come first, as few texts hold them.
+    """
+    out = set()
+    for bigrams in sets.values():
+        size = len(bigrams)
+        overlap = math.ceil(threshold * (size + size_bounds(size, threshold)[0]) / 2 - 1e-9)
+        by_length = sorted((tuple(b.split(" ")) for b in bigrams), key=lambda b: (-min(map(len, b)), b))
+        out.update(by_length[: size - max(overlap, 1) + 1])
+    return sorted(out)
+
+
+def may_match(text: Column, sets: Mapping[str, list[str]], threshold: float) -> Column:
+    """Whether ``text`` holds, anywhere, both words of a required bigram."""
+    def holds(low: Column) -> Column:
+        return F.exists(F.array(low), lambda t: reduce(or_, (
+            t.contains(a) & t.contains(b) for a, b in required_bigrams(sets, threshold))))
+
+    # Other letters that fold to ASCII ones only let more texts through.
+    return holds(F.lower(text))
+
+
 def parts(text: Column) -> Column:
     """Distinct normalised lines, paragraphs and the whole text."""
     clean = F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
                              "[^a-z0-9\n]+", " ")
-    flat = F.transform(F.concat(F.split(clean, "\n ?\n"), F.array(clean)), lambda p: F.translate(p, "\n", " "))
-    return F.array_distinct(F.transform(F.concat(F.split(clean, "\n"), flat), lambda p: F.trim(p)))
+
+    def pieces(c: Column) -> Column:
+        flat = F.transform(F.concat(F.split(c, "\n ?\n"), F.array(c)), lambda p: F.translate(p, "\n", " "))
+        return F.concat(F.split(c, "\n"), flat)
+
+    # The normalised text is bound as an element, so it is made once.
+    return F.array_distinct(F.transform(F.flatten(F.transform(F.array(clean), pieces)), lambda p: F.trim(p)))
 
 
 def matches(text: Column, notices: Mapping[str, str] = NOTICES, threshold: float = THRESHOLD) -> Column:
@@ -103,7 +135,7 @@ def matches(text: Column, notices: Mapping[str, str] = NOTICES, threshold: float
     found = F.transform(close, lambda p: F.struct(
         p["best"]["licence"].alias("licence"), p["best"]["dice"].alias("dice"), p["part"].alias("part")))
     none = F.lit([]).cast("array<struct<licence:string,dice:double,part:string>>")
-    return F.when(text.isNull(), none).otherwise(found)
+    return F.when(may_match(text, sets, threshold), found).otherwise(none)
 
 
 def scan(df: DataFrame, text: str = "text", notices: Mapping[str, str] = NOTICES,

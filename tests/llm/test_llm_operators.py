@@ -361,6 +361,19 @@ def test_secret_redaction_and_awkward(spark, awkward, empty):
 
 # ---- licences -----------------------------------------------------------------------------------
 
+def test_required_bigrams_lose_no_close_part():
+    random.seed(4)
+    sets = {name: licences.notice_bigrams(text) for name, text in licences.NOTICES.items()}
+    required = {" ".join(b) for b in licences.required_bigrams(sets, licences.THRESHOLD)}
+    assert len(required) < sum(map(len, sets.values())) / 2
+    for bigrams in sets.values():
+        for _ in range(200):
+            kept = set(random.sample(bigrams, random.randint(1, len(bigrams))))
+            part = kept | {f"x{i} y" for i in range(random.randint(0, len(bigrams)))}
+            if 2 * len(kept) / (len(part) + len(bigrams)) >= licences.THRESHOLD:
+                assert kept & required
+
+
 def test_licences(spark, awkward, empty):
     texts = [
         "Some prose here.\nReleased under the MIT License.\nMore prose.", "licensed under the apache license version 2.0",

@@ -165,6 +165,20 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One attempt for each order, in order of its key; every 997th is a reset of the first eighth of the keys."""
+    key = F.col("o_orderkey")
+    outcome = F.when(key % 997 == 0, "reset").when(F.col("o_orderstatus") == "F", "completed").when(
+        key % 3 == 0, "empty").otherwise("error")
+    orders = table(spark, sf_dir, "orders")
+    early = orders.agg(F.max("o_orderkey")).scalar() / 8
+    return orders.filter((outcome != "reset") | (key < early)).select(
+        key.alias("seq"), F.concat(F.lit("clinic in area "), F.col("o_custkey").cast("string")).alias("query"),
+        outcome.alias("outcome"), (key % 50).cast("int").alias("batch"), (key % 7).cast("long").alias("places"),
+        (key % 1000).cast("long").alias("reviews"), F.when(outcome == "error", F.concat(F.lit("error "), key % 5)).alias("error"),
+    )
+
+
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.concat(F.lit("Area "), F.col("c_custkey").cast("string")).alias("area")

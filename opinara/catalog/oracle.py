@@ -660,11 +660,11 @@ SELECT {} FROM (
   SELECT *, row_number() OVER (PARTITION BY place_id, review_text ORDER BY batch, review_id) AS n FROM copied)
 WHERE n = 1 AND coalesce(regexp_matches(review_text, '\S'), true)"""
 _add("merge_reviews", COPIED, _MERGED.format("review_id, place_id, review_text"))
-_add("stream_merge", COPIED, _MERGED.format("place_id, review_text"))
+_add("stream_merge", COPIED, _MERGED.format("review_id, place_id, review_text"))
 _add("stream_extract", RAW_REVIEWS, """
 SELECT place_id, pos, review_text, review_rating, review_date, reviewer_name FROM extracted""")
 _add("stream_status", REVIEWS, """
-SELECT batch, 'completed' AS status, count(*) AS reviews FROM reviews GROUP BY batch""")
+SELECT batch, 'completed' AS status, count(DISTINCT place_name) AS places, count(*) AS reviews FROM reviews GROUP BY batch""")
 
 # ---- query lists -------------------------------------------------------------------------------
 
@@ -674,6 +674,31 @@ WHERE query NOT IN (SELECT query FROM log WHERE status IN ('completed', 'failed'
 UNION ALL
 SELECT query, 'retry' FROM log WHERE status = 'failed' AND query NOT IN (SELECT query FROM log WHERE status = 'completed')
 GROUP BY query HAVING max(attempts) < 3""")
+ATTEMPTS = """
+attempts AS (
+  SELECT o_orderkey AS seq, 'clinic in area ' || o_custkey AS query,
+         CASE WHEN o_orderkey % 997 = 0 THEN 'reset' WHEN o_orderstatus = 'F' THEN 'completed'
+              WHEN o_orderkey % 3 = 0 THEN 'empty' ELSE 'error' END AS outcome,
+         (o_orderkey % 50)::INTEGER AS last_batch, o_orderkey % 7 AS places, o_orderkey % 1000 AS reviews,
+         'error ' || (o_orderkey % 5) AS error
+  FROM orders),
+since AS (
+  SELECT * FROM attempts WHERE outcome <> 'reset' AND seq > coalesce((
+    SELECT max(seq) FROM attempts WHERE outcome = 'reset' AND seq < (SELECT max(o_orderkey) / 8.0::DOUBLE FROM orders)), -1)),
+done AS (SELECT query, max(seq) AS seq FROM since WHERE outcome = 'completed' GROUP BY query),
+last_error AS (SELECT query, max(seq) AS seq FROM since WHERE outcome = 'error' GROUP BY query),
+state AS (
+  SELECT query, 'completed' AS status, NULL::INTEGER AS attempts, NULL::INTEGER AS failures, NULL AS error, last_batch, places, reviews
+  FROM since JOIN done USING (query, seq)
+  UNION ALL
+  SELECT s.query, 'failed', count(*) FILTER (WHERE e.seq IS NULL OR s.seq >= e.seq)::INTEGER, count(*)::INTEGER,
+         max(error) FILTER (WHERE s.seq = e.seq), NULL, NULL, NULL
+  FROM since s LEFT JOIN last_error e ON s.query = e.query WHERE s.query NOT IN (SELECT query FROM done) GROUP BY s.query)"""
+_add("attempt_state", ATTEMPTS, "SELECT * EXCLUDE (failures) FROM state")
+_add("pending_attempts", LOG + "," + ATTEMPTS, """
+SELECT DISTINCT query, 'new' AS reason FROM listed WHERE query NOT IN (SELECT query FROM state)
+UNION ALL
+SELECT query, 'retry' FROM state WHERE status = 'failed' AND failures < 3""")
 _add("new_queries", LOG, """
 SELECT DISTINCT query FROM (SELECT query FROM listed UNION ALL SELECT replace(query, 'clinic', 'bakery') FROM listed)
 WHERE query NOT IN (SELECT query FROM log)""")

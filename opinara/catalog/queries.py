@@ -21,7 +21,7 @@ from opinara.plans import export
 from opinara.plans.analysis import AnalysisPlan
 from opinara.session import scratch_path
 from opinara.sources import readers, writers
-from opinara.streaming import ingest
+from opinara.streaming import attempts, history, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -429,10 +429,12 @@ def stream_extract(spark, sf_dir):
 
 
 def _landed_reviews(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """Reviews landed in one folder per batch, read back as a stream in several micro-batches."""
+    """Reviews landed in two deliveries of four batches, one file each, read back as a stream of two micro-batches."""
     columns = ["review_id", "place_name", "place_id", "review_text", "batch"]
     landed = a.copied_reviews(spark, sf_dir).select(*columns)
-    landed.withColumn("part", F.col("batch")).write.partitionBy("part").parquet(f"{folder}/landing")
+    parts = landed.withColumn("part", F.col("batch"))
+    for delivery in (F.col("batch") < 4, F.col("batch") >= 4):
+        parts.filter(delivery).repartition("part").write.mode("append").partitionBy("part").parquet(f"{folder}/landing")
     schema = T.StructType([f for f in landed.schema.fields] + [T.StructField("part", T.IntegerType())])
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
     return reader.parquet(f"{folder}/landing").drop("part")
@@ -440,12 +442,13 @@ def _landed_reviews(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
 
 @query
 def stream_merge(spark, sf_dir):
+    """Which copy survives is part of the result."""
     folder = scratch_path(spark, "stream-merge")
     stream = _landed_reviews(spark, sf_dir, folder)
     ingest.start_merge(
-        stream, f"{folder}/history", f"{folder}/checkpoint", ["batch", "review_id"]
+        stream, f"{folder}/history", f"{folder}/checkpoint", ["batch", "review_id"], target_rows=500, compact_every=1
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/history").select("place_id", "review_text")
+    return history.read_history(spark, f"{folder}/history").select("review_id", "place_id", "review_text")
 
 
 @query
@@ -454,7 +457,21 @@ def stream_status(spark, sf_dir):
     stream = _landed_reviews(spark, sf_dir, folder)
     ingest.start_status(stream, f"{folder}/status", f"{folder}/checkpoint").awaitTermination()
     recorded = spark.read.parquet(f"{folder}/status")
-    return recorded.groupBy("batch", "status").agg(F.sum("reviews").alias("reviews"))
+    # A batch lies in one file, hence in one epoch.
+    return recorded.groupBy("batch", "status").agg(F.sum("places").alias("places"), F.sum("reviews").alias("reviews"))
+
+
+@query
+def attempt_state(spark, sf_dir):
+    """Collection state folded from a log of attempts, one for each order."""
+    return attempts.fold_attempts(a.attempt_log(spark, sf_dir)).withColumnRenamed("batch", "last_batch")
+
+
+@query
+def pending_attempts(spark, sf_dir):
+    """What to run next, by the folded state."""
+    state = attempts.fold_attempts(a.attempt_log(spark, sf_dir), every_failure=True)
+    return collection.pending_queries(a.listed_queries(spark, sf_dir), state)
 
 
 # ---- everything --------------------------------------------------------------------------------

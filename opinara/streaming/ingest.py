@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opinara import schemas
-from opinara.functions.text import not_blank
-from opinara.operators.extract import explode_reviews
-from opinara.operators.ranking import keep_first
-from opinara.sources.readers import first_existing, typed_places
+from opinara.operators.extract import dedupe_by_prefix, explode_reviews
+from opinara.sources.readers import typed_places
+from opinara.streaming import attempts, history
 
-BUCKETS = 64
+#: Micro-batches between two looks at the size of the history.
+COMPACT_EVERY = 16
 
 
 def place_stream(spark: SparkSession, landing: str, *, files_per_batch: int | None = None) -> DataFrame:
@@ -38,47 +40,62 @@ def start_extract(places: DataFrame, output: str, checkpoint: str) -> StreamingQ
     )
 
 
-def with_identity(reviews: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Add the digest that identifies a review and the storage bucket of its place."""
-    return reviews.withColumn(
-        "identity", F.sha2(F.to_json(F.struct("place_id", "review_text")), 256)
-    ).withColumn("bucket", F.pmod(F.xxhash64("place_id"), F.lit(buckets)).cast("int"))
+def _run(stream: DataFrame, checkpoint: str, step) -> StreamingQuery:
+    """Hand every micro-batch to ``step``, kept for as long as it is read, until nothing is left to read."""
+    def process(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            step(batch, epoch)
+        finally:
+            batch.unpersist()
 
+    return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def merge_batch(batch: DataFrame, sink: str, order_by: list[str], buckets: int = BUCKETS) -> None:
-    """Append the reviews of a micro-batch that the sink does not hold yet.
 
-    Identity decides, so replaying a batch after a failure adds nothing.  The history is read only in
-    the touched buckets (at most ``buckets`` numbers on the driver) and only its digest column; the
-    join key is the digest, so a place with much of the history does not slow one task.
+def start_merge(reviews: DataFrame, sink: str, checkpoint: str, order_by: list[str],
+                target_rows: int = history.TARGET_ROWS, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Merge a review stream into the deduplicated history at ``sink`` until nothing is left to read.
+
+    Every ``compact_every`` micro-batches the history is looked over and, if it has outgrown its buckets, rewritten.
     """
-    spark = batch.sparkSession
-    kept = batch.filter(F.coalesce(not_blank(F.col("review_text")), F.lit(True)))
-    fresh = keep_first(with_identity(kept, buckets), ["identity"], order_by)
-    if first_existing(spark, sink):
-        touched = [row.bucket for row in with_identity(kept, buckets).select("bucket").distinct().collect()]
-        history = spark.read.parquet(sink).filter(F.col("bucket").isin(touched)).select("identity")
-        fresh = fresh.join(history, "identity", "left_anti")
-    # One writer for each touched bucket, so a micro-batch adds one file there.
-    fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(sink)
-
-
-def start_merge(
-    reviews: DataFrame, sink: str, checkpoint: str, order_by: list[str], buckets: int = BUCKETS
-) -> StreamingQuery:
-    """Merge a review stream into the deduplicated history until nothing is left to read."""
-    def merge(batch: DataFrame, _epoch: int) -> None:
-        # Read twice: once for the touched buckets, once for the rows.
-        batch.persist()
+    def merge(batch: DataFrame, epoch: int) -> None:
+        history.merge_batch(batch, sink, order_by)
+        if epoch % compact_every == compact_every - 1:
+            history.compact(batch.sparkSession, sink, target_rows)
+
+    return _run(reviews, checkpoint, merge)
+
+
+def start_ingest(places: DataFrame, sink: str, log: str, checkpoint: str, run: str, queries: Sequence[str],
+                 target_rows: int = history.TARGET_ROWS, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Places in, deduplicated reviews and attempts out: extraction, merge and state in one stream.
+
+    A micro-batch is one attempt at ``queries``: its reviews are flattened, deduplicated by prefix and merged into the history
+    at ``sink``, then its outcome, places and reviews are recorded in ``log`` under the run and the epoch of the merge.  A batch
+    that fails half-way is replayed: reviews already merged are not added again and its record is replaced.  A batch
+    without places is an error, one without reviews is empty.  ``run`` names the checkpoint's run.
+    """
+    columns = [c for c in schemas.REVIEW_COLUMNS]
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = explode_reviews(batch, [F.lit(0).cast("long")])
+        reviews = dedupe_by_prefix(rows, ["pos", "review_text", "reviewer_name"]).select(*columns, "pos").persist()
         try:
-            merge_batch(batch, sink, order_by, buckets)
+            n_places = batch.agg(F.countDistinct("title")).first()[0]
+            n_reviews = reviews.count()
+            if n_reviews:
+                history.merge_batch(reviews, sink, ["pos", "review_text", "reviewer_name"])
+            outcome = "completed" if n_reviews else "empty" if n_places else "error"
+            attempts.record_attempt(
+                spark, log, f"{run}-{epoch:08d}", epoch, queries, outcome, batch=epoch, places=n_places, reviews=n_reviews,
+                error=None if n_places else "No results returned")
         finally:
-            batch.unpersist()
+            reviews.unpersist()
+        if epoch % compact_every == compact_every - 1:
+            history.compact(spark, sink, target_rows)
 
-    return (
-        reviews.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return _run(places, checkpoint, step)
 
 
 def start_status(reviews: DataFrame, output: str, checkpoint: str) -> StreamingQuery:

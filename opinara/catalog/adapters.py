@@ -27,6 +27,9 @@ STOP_WORDS: list[str] = [
 # Context words for the rule-based scorer, again frequent in the invented text.
 NEGATORS: list[str] = ["with", "for"]
 BOOSTERS: dict[str, float] = {"that": 0.293, "and": 0.293, "was": -0.293}
+# Phrases for the same scorer: one begins like another, two begin and end with a scored word, one takes a degree word's place.
+PHRASES: dict[str, float] = {"the eres": 2.6, "the eres the": -1.7, "attion to": -1.4, "thst the": 0.8, "and the": 0.9}
+PHRASE_BOOSTERS: dict[str, float] = {"of the": 0.293}
 
 # A place record holds a slice of a conversation, so that no record grows without bound.
 TURNS_PER_RECORD = 4

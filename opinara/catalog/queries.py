@@ -225,7 +225,8 @@ _on("aspect_tags", a.analysed, lambda df: df.select(
 @query
 def lexicon_sentiment(spark, sf_dir):
     cleaned = a.cleaned(spark, sf_dir)
-    rated = sentiment.lexicon_sentiment(cleaned, a.VALENCES, negators=a.NEGATORS, boosters=a.BOOSTERS)
+    rated = sentiment.lexicon_sentiment(
+        cleaned, a.VALENCES | a.PHRASES, negators=a.NEGATORS, boosters=a.BOOSTERS | a.PHRASE_BOOSTERS)
     return rated.select("review_id", "sentiment", "sentiment_score", "sentiment_label_num")
 
 
@@ -328,8 +329,25 @@ _on("compare_keywords", a.cleaned, lambda df: keywords.compare_keywords(df, a.ST
 _on("keyword_sentiment", a.scored, lambda df: keywords.keyword_sentiment(df, a.STOP_WORDS))
 _on("negative_keywords", a.scored,
     lambda df: panels.negative_keywords(keywords.keyword_sentiment(df, a.STOP_WORDS)))
-_on("topic_words", a.cleaned, lambda df: topics.fit_topics(df, a.STOP_WORDS).topic_words())
-_on("topic_counts", a.cleaned, lambda df: topics.fit_topics(df, a.STOP_WORDS).topic_counts())
+_on("topic_words", a.cleaned, lambda df: topics.topic_tables(df, a.STOP_WORDS)["words"])
+_on("topic_counts", a.cleaned, lambda df: topics.topic_tables(df, a.STOP_WORDS)["counts"])
+_on("topic_vocabulary", a.cleaned, lambda df: topics.topic_vocabulary(df, a.STOP_WORDS))
+
+
+@query
+def topic_invariants(spark, sf_dir):
+    """What holds for any fit, from one fit: every review has shares that add up to one, every topic its words."""
+    tables = topics.topic_tables(a.cleaned(spark, sf_dir), a.STOP_WORDS)
+    shares = F.aggregate("distribution", F.lit(0.0), lambda total, x: total + x)
+    best = F.concat(F.lit("topic_"), F.array_position("distribution", F.array_max("distribution")))
+    reviews = tables["distribution"].agg(
+        F.count(F.lit(1)).alias("reviews"), F.countDistinct("review_id").alias("distinct_reviews"),
+        F.count(F.when(F.abs(shares - 1) < 1e-6, 1)).alias("adding_up"),
+        F.count(F.when(F.col("dominant_topic") == best, 1)).alias("dominant"))
+    words = tables["words"]
+    return reviews.withColumns({
+        "topics": words.agg(F.countDistinct("topic")).scalar(), "topic_words": words.agg(F.count(F.lit(1))).scalar(),
+        "counted": tables["counts"].agg(F.sum("reviews")).scalar()})
 
 
 @query
@@ -401,7 +419,8 @@ def _deduped_places(spark, sf_dir):
 
 
 _on("batch_yield", a.copied_reviews, growth.batch_yield)
-_on("sentiment_trend", a.scored, growth.sentiment_trend)
+# February and July have no reviews, so the calendar has to fill them.
+_on("sentiment_trend", a.scored, lambda df: growth.sentiment_trend(df.filter(F.month("review_ts") % 5 != 2)))
 _on("area_rollup", a.reviews, growth.area_rollup)
 
 

@@ -53,12 +53,29 @@ def thin_places(places: DataFrame, reviews: DataFrame, fewer_than: int = 10) ->
     )
 
 
+def with_empty_months(monthly: DataFrame, key: str = "place_name") -> DataFrame:
+    """One row for each month from a place's first to its last; months without rows have nulls in the other columns.
+
+    Every month carries the gap behind it, so a place is neither collected nor joined with a calendar.
+    """
+    following = F.lead("month").over(W.partitionBy(key).orderBy("month"))
+    gap = F.when(F.col("_next").isNull(), F.array("month")).otherwise(
+        F.expr("sequence(month, add_months(_next, -1), interval 1 month)"))
+    spread = monthly.withColumn("_next", following).withColumn("_month", F.explode(gap))
+    given = F.col("_month") == F.col("month")
+    return spread.select(*(
+        F.col("_month").alias(c) if c == "month" else F.col(c) if c == key else F.when(given, F.col(c)).alias(c)
+        for c in monthly.columns))
+
+
 def sentiment_trend(df: DataFrame) -> DataFrame:
     """Per place and month: shares and score, and the change of the positive share to the month before.
 
-    The window runs over one row per place and month.
+    The calendar has no gaps: a month without reviews is a row of 0 reviews without shares, so the change is always that
+    to the calendar month before, and NULL where either month has no rated review.  Reviews without a date are in no
+    month and go.  The windows run over one row per place and month.
     """
-    monthly = df.filter(F.col("place_name").isNotNull()).groupBy(
+    monthly = df.filter(F.col("place_name").isNotNull() & F.col("review_ts").isNotNull()).groupBy(
         "place_name", F.date_trunc("month", "review_ts").cast("date").alias("month")
     ).agg(
         F.count("sentiment").alias("reviews"),
@@ -66,8 +83,9 @@ def sentiment_trend(df: DataFrame) -> DataFrame:
         half_even(share_of(F.col("sentiment") == "negative"), 2).alias("negative_pct"),
         half_even(exact_mean(F.col("sentiment_score")), 3).alias("avg_sentiment_score"),
     )
+    filled = with_empty_months(monthly).withColumn("reviews", F.coalesce("reviews", F.lit(0)))
     before = F.lag("positive_pct").over(W.partitionBy("place_name").orderBy("month"))
-    return monthly.withColumn("positive_change", half_even(F.col("positive_pct") - before, 2))
+    return filled.withColumn("positive_change", half_even(F.col("positive_pct") - before, 2))
 
 
 def area_rollup(df: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -78,15 +79,56 @@ def _word_score(entry: Column, index: Column) -> Column:
     return F.when(value.isNotNull(), value * contrast).otherwise(0.0)
 
 
+def _phrase_pattern(phrases: Iterable[str]) -> str | None:
+    """An alternation that finds, from left to right, the longest of the given phrases of several words.
+
+    It is meant for words set in single blanks each (`` one  two ``), so that a match takes whole words and their own blanks only.
+    """
+    split = {tuple(p.lower().split()) for p in phrases}
+    several = sorted((p for p in split if len(p) > 1), key=lambda p: (-len(p), p))
+    quoted = (" " + "  ".join(re.sub(r"([^\w\s])", r"\\\1", word) for word in p) + " " for p in several)
+    return f"(?iu){'|'.join(quoted)}" if several else None
+
+
+def with_phrases(df: DataFrame, column: str, phrases: Iterable[str]) -> DataFrame:
+    """Join the words of an array column that make up a phrase, as one element with single blanks.
+
+    The leftmost phrase wins and, of those that begin there, the longest; phrases do not overlap; case does not matter and is
+    kept.  Rows without a phrase keep their array as it is.  One pass of one automaton over the row's words.
+    """
+    pattern = _phrase_pattern(phrases)
+    if pattern is None:
+        return df
+
+    def separate(piece: Column) -> Column:
+        return F.filter(F.split(piece, " +"), lambda w: w != "")
+
+    def joined(phrase: Column) -> Column:
+        return F.when(phrase.isNull(), F.array().cast("array<string>")).otherwise(
+            F.array(F.regexp_replace(F.trim(phrase), " +", " ")))
+
+    staged = df.withColumn("_text", F.concat(F.lit(" "), F.array_join(column, "  "), F.lit(" ")))
+    between = F.split("_text", pattern)
+    found = F.regexp_extract_all("_text", F.lit(pattern), 0)
+    merged = F.flatten(F.zip_with(between, found, lambda piece, phrase: F.concat(separate(piece), joined(phrase))))
+    return staged.withColumn(column, F.when(F.col("_text").rlike(pattern), merged).otherwise(F.col(column))).drop("_text")
+
+
 def lexicon_sentiment(
     df: DataFrame, valences: Mapping[str, float] = lexicons.VALENCES, *,
     negators: Sequence[str] = lexicons.NEGATORS, boosters: Mapping[str, float] = lexicons.BOOSTERS,
 ) -> DataFrame:
     """Rule-based valence scoring of ``clean_text`` with the published constants.
 
+    Keys of several words, in any of the lists, are phrases: where one occurs (see ``with_phrases``) its words count as one word
+    with the phrase's own value, to which degree words, negation and the other rules apply, and its parts mean
+    nothing.  Emoticons are words like others.
+
     Zipping shifted copies of the word array gives each word its three predecessors inside the row:
     no explode and no shuffle, whatever the length of the review.
     """
+    valences, boosters = ({" ".join(k.split()): v for k, v in m.items()} for m in (valences, boosters))
+    negators = [" ".join(n.split()) for n in negators]
     value, boost, negator_list = dictionary(valences), dictionary(boosters), list(negators)
     bare = F.regexp_replace
 
@@ -114,6 +156,7 @@ def lexicon_sentiment(
             .otherwise(w),
         ),
     )
+    staged = with_phrases(staged, "_words", [*valences, *boosters, *negators])
     whole = F.struct(
         F.exists("_words", lambda w: ~is_loud(w)).alias("mixed"),
         F.array_position(F.transform("_words", F.lower), "but").alias("but"),

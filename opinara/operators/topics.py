@@ -9,6 +9,7 @@ from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from opinara.functions.numbers import half_even
@@ -56,6 +57,36 @@ class TopicModel:
         return counts.orderBy(F.desc("reviews"), "dominant_topic")
 
 
+def _vocabulary(table: DataFrame, max_features: int, min_df: int, max_df: float) -> DataFrame:
+    stats = document_frequencies(table, [1, 2])
+    reviews = F.coalesce(stats.filter(F.col("term").isNull()).agg(F.max("df")).scalar(), F.lit(0))
+    kept = stats.filter(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= reviews * max_df) & (reviews >= 10))
+    # The limit comes first, so the rank's one task holds at most max_features terms.
+    best = kept.orderBy(F.desc("total"), "term").limit(max_features)
+    rank = F.row_number().over(W.orderBy(F.desc("total"), "term"))
+    return best.select("term", "df", "total", rank.alias("rank"))
+
+
+def topic_vocabulary(df: DataFrame, stop_words: Sequence[str], *, max_features: int = 3000, min_df: int = 3,
+                     max_df: float = 0.8) -> DataFrame:
+    """(term, df, total, rank): the (1, 2)-grams a topic model is fitted on; none below ten reviews."""
+    return _vocabulary(materialise(review_words(df, stop_words)), max_features, min_df, max_df)
+
+
+def topic_tables(df: DataFrame, stop_words: Sequence[str], **settings) -> dict[str, DataFrame]:
+    """``words``, ``distribution`` and ``counts`` of one fit; empty tables where there is nothing to fit."""
+    model = fit_topics(df, stop_words, **settings)
+    if model is not None:
+        return {"words": model.topic_words(), "distribution": model.topic_distribution(), "counts": model.topic_counts()}
+    review = df.schema["review_id"].dataType.simpleString()
+    empty = df.sparkSession.createDataFrame
+    return {
+        "words": empty([], "topic string, rank int, word string, weight double"),
+        "distribution": empty([], f"review_id {review}, distribution array<double>, dominant_topic string"),
+        "counts": empty([], "dominant_topic string, reviews long"),
+    }
+
+
 def fit_topics(
     df: DataFrame, stop_words: Sequence[str], *, n_topics: int = 5, max_features: int = 3000,
     min_df: int = 3, max_df: float = 0.8, iterations: int = 10, seed: int = 42,
@@ -66,13 +97,8 @@ def fit_topics(
     vectors are stored once below the shared folder; every iteration passes over all of them.
     """
     table = materialise(review_words(df, stop_words))
-    stats = document_frequencies(table, [1, 2])
-    head = stats.filter(F.col("term").isNull()).first()
-    reviews = head["df"] if head else 0
-    if reviews < 10:
-        return None
-    kept = stats.filter(F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("df") <= reviews * max_df))
-    vocabulary = [row.term for row in kept.orderBy(F.desc("total"), "term").limit(max_features).select("term").collect()]
+    ranked = _vocabulary(table, max_features, min_df, max_df)
+    vocabulary = [row.term for row in ranked.orderBy("rank").collect()]
     if not vocabulary:
         return None
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="features")

@@ -147,3 +147,31 @@ def test_default_areas_and_centres(spark):
     covered = collection.max_coverage_queries(
         collection.default_areas(spark), lexicons.CLINIC_KEYWORDS, collection.default_centres(spark), "clinic")
     assert covered.filter("query LIKE 'clinic @%,14z'").count() == len(lexicons.GEO_CENTRES)
+
+
+def test_trend_fills_empty_months(spark):
+    from datetime import date, datetime
+
+    rows = [("a", datetime(2024, 11, 3), "positive", 0.5), ("a", datetime(2025, 2, 1), "negative", -0.5), ("a", datetime(2025, 3, 31), "positive", 0.5),
+            ("a", datetime(2025, 3, 1), "negative", 0.1), ("a", datetime(2025, 5, 1), None, None), ("b", datetime(2025, 1, 31), "positive", 1.0),
+            ("b", None, "positive", 1.0), (None, datetime(2025, 1, 1), "positive", 1.0)]
+    df = spark.createDataFrame(rows, "place_name string, review_ts timestamp, sentiment string, sentiment_score double")
+    got = {(r.place_name, r.month): (r.reviews, r.positive_pct, r.positive_change) for r in growth.sentiment_trend(df).collect()}
+    assert got == {
+        ("a", date(2024, 11, 1)): (1, 100.0, None), ("a", date(2024, 12, 1)): (0, None, None), ("a", date(2025, 1, 1)): (0, None, None),
+        # The month before has no reviews, so there is no change, however it was in November.
+        ("a", date(2025, 2, 1)): (1, 0.0, None), ("a", date(2025, 3, 1)): (2, 50.0, 50.0), ("a", date(2025, 4, 1)): (0, None, None),
+        ("a", date(2025, 5, 1)): (0, 0.0, None), ("b", date(2025, 1, 1)): (1, 100.0, None),
+    }
+    assert growth.sentiment_trend(df.limit(0)).count() == 0
+
+
+def test_too_few_reviews_for_topics(spark):
+    from opinara.operators import topics
+
+    df = spark.createDataFrame([(i, "nice food here") for i in range(4)], "review_id long, clean_text string")
+    tables = topics.topic_tables(df, [])
+    assert {name: table.count() for name, table in tables.items()} == {"words": 0, "distribution": 0, "counts": 0}
+    assert topics.topic_vocabulary(df, []).count() == 0
+    many = spark.createDataFrame([(i, f"nice food number{i % 4}") for i in range(12)], "review_id long, clean_text string")
+    assert [r.term for r in topics.topic_vocabulary(many, []).orderBy("rank").collect()][:2] == ["food number0", "food number1"]

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from opinara.functions.lookup import dictionary
@@ -54,3 +56,50 @@ def test_dispatch(spark):
     with pytest.raises(ValueError):
         sentiment.run_sentiment(frame(spark, ["a"]), "unknown")
     assert sentiment.run_sentiment(frame(spark, ["good"]), "lexicon", valences=VALENCES).first().sentiment == "positive"
+
+
+PHRASES = ["cut the mustard", "cut the", "the mustard", "kiss of death", "of death to", "a+b (c)", ":) :)", "not bad"]
+
+
+def longest_matches(words, phrases):
+    """Leftmost phrases, the longest of those that begin at one word."""
+    split = {tuple(p.split()) for p in phrases}
+    out, i = [], 0
+    while i < len(words):
+        n = max((len(p) for p in split if tuple(w.lower() for w in words[i:i + len(p)]) == p), default=1)
+        out.append(" ".join(words[i:i + n]))
+        i += n
+    return out
+
+
+def test_phrases_by_brute_force(spark):
+    rng = random.Random(2)
+    stock = "cut the mustard Cut THE kiss of death to a+b (c) :) not bad good x".split()
+    rows = [(i, [rng.choice(stock) for _ in range(rng.randint(0, 25))]) for i in range(400)]
+    rows += [(400, ["x"] * 20_000 + ["kiss", "of", "death"] * 3)]
+    df = spark.createDataFrame(rows, "review_id long, words array<string>")
+    got = {r.review_id: r.words for r in sentiment.with_phrases(df, "words", PHRASES).collect()}
+    assert got == {i: longest_matches(w, PHRASES) for i, w in rows}
+    assert sentiment.with_phrases(df, "words", ["single"]) is df
+
+
+def test_a_phrase_scores_like_one_word(spark):
+    valences = VALENCES | {"die": -2.9, "to die for": 3.0, "kiss  of death": -1.5, "one": 3.0, "other": -1.5, ":)": 2.0}
+    boosters, negators = {"very": 0.293, "kind of": -0.293, "kindof": -0.293}, ["not", "no longer", "nolonger"]
+    rng = random.Random(4)
+    stock = ["to die for", "kiss of death", "kind of", "no longer", "very", "not", "good", "but", "food", "NEVER", "so", "To Die For", ":)", "die"]
+    alias = {"to die for": "one", "To Die For": "One", "kiss of death": "other", "kind of": "kindof", "no longer": "nolonger"}
+    parts = [[rng.choice(stock) for _ in range(rng.randint(0, 9))] for _ in range(300)]
+    both = [" ".join(p) for p in parts] + [" ".join(alias.get(w, w) for w in p) for p in parts]
+    rows = sentiment.lexicon_sentiment(frame(spark, both), valences, boosters=boosters, negators=negators).orderBy("review_id").collect()
+    scores = [(r.sentiment, r.sentiment_score) for r in rows]
+    assert scores[:300] == scores[300:] and len(set(scores)) > 50
+    signed = sentiment.lexicon_sentiment(frame(spark, ["The cake is to die for", "to die for", "die"]), valences).orderBy("review_id").collect()
+    assert [r.sentiment for r in signed] == ["positive", "positive", "negative"]
+
+
+def test_a_full_size_lexicon(spark):
+    valences = {f"word{n}": (n % 9 - 4) / 2 for n in range(7500)} | {f"word{n} word{n + 1}": 3.0 for n in range(0, 500, 5)}
+    rows = sentiment.lexicon_sentiment(frame(spark, ["word8 word9", "word5 word6", "x word7498"]), valences).orderBy("review_id").collect()
+    # 2.0 and -2.0 are no phrase; the second is one.
+    assert [r.sentiment for r in rows] == ["neutral", "positive", "negative"]

@@ -16,7 +16,8 @@ def comparison_ranking(sentiment: DataFrame) -> DataFrame:
         "place_name", "sentiment_health_score", "positive_pct", "negative_pct",
         F.col("avg_review_rating").alias("avg_rating"), "total_reviews",
     )
-    return global_rank(rows, [F.desc("sentiment_health_score"), F.col("place_name")])
+    falling = F.coalesce(-F.col("sentiment_health_score"), F.lit(float("inf")))
+    return global_rank(rows, falling, [F.desc("sentiment_health_score"), F.col("place_name")], bounded=True)
 
 
 def _best(net: str = "net_sentiment"):

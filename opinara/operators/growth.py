@@ -24,7 +24,8 @@ def batch_yield(reviews: DataFrame) -> DataFrame:
     per_batch = delivered.join(fresh, "batch", "left").select(
         "batch", "delivered", F.coalesce("new_reviews", F.lit(0)).alias("new_reviews")
     )
-    return running_total(per_batch, [F.col("batch")], F.col("new_reviews"), "cumulative_reviews")
+    return running_total(
+        per_batch, F.coalesce("batch", F.lit(float("-inf"))), [F.col("batch")], F.col("new_reviews"), "cumulative_reviews")
 
 
 def capture_per_place(places: DataFrame, reviews: DataFrame) -> DataFrame:

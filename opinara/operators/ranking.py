@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opinara.session import materialise
+#: Cells of a running total: a task sums about this part of all rows.
+CELLS = 256
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str]) -> DataFrame:
     """One row per key: the first in ``order_by`` (which should be a total order).
@@ -51,43 +53,52 @@ def top_per_group(
 
 
 def running_total(
-    df: DataFrame, order_by: Sequence[Column], value: Column, name: str, *, total: str | None = None
+    df: DataFrame, key: Column, order_by: Sequence[Column], value: Column, name: str, *, total: str | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` over the whole table, and optionally its grand total.
-
-    A window without a partition would pull everything into one task.  Here the rows are range
-    partitioned, each range is summed on its own, and the few range totals (one row per partition)
-    give every range its offset.  The checkpoint pins the ranges, which are sampled at run time.
+    """Inclusive running sum of ``value`` over the whole table in the order ``order_by``, and optionally its grand total.
+
+    ``key`` is a number that never falls along that order and is never NULL.  A window without a partition would pull
+    everything into one task.  Here approximate percentiles of the key cut the rows into at most ``CELLS`` cells, each cell is
+    summed on its own, and the cells' totals give every cell its offset.  It is one lazy plan: the percentiles are a scalar
+    subquery of it.  A ``bounded`` key, one of few whole parts such as a percentage, cuts the rows at whole numbers instead, and
+    needs no subquery.  All readers of ``df`` ask for all its columns, so that they share its last shuffle.  Rows of equal
+    key share a cell.
     """
-    ranges = materialise(
-        df.orderBy(*order_by)
-        .withColumn("_range", F.spark_partition_id())
-        .withColumn("_seq", F.monotonically_increasing_id())
-        .withColumn("_value", value)
-    )
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranges.groupBy("_range").agg(F.sum("_value").alias("_sum")).select(
-        "_range",
+    keyed = df.withColumns({"_key": key.cast("double"), "_value": value})
+    whole = F.max(F.xxhash64(*keyed.columns))
+    if bounded:
+        cells = keyed.withColumn("_cell", F.greatest(F.least(F.floor("_key"), F.lit(CELLS)), F.lit(-CELLS)))
+    else:
+        steps = F.lit([i / CELLS for i in range(1, CELLS)])
+        bounds = keyed.agg(F.struct(F.percentile_approx("_key", steps, F.lit(10 * CELLS)).alias("p"), whole.alias("w"))).scalar()["p"]
+        cell = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_key"))), F.lit(0))
+        cells = keyed.withColumn("_bounds", bounds).withColumn("_cell", cell).drop("_bounds")
+    before = W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    offsets = cells.groupBy("_cell").agg(F.sum("_value").alias("_sum"), whole.alias("_whole")).select(
+        "_cell",
         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_sum").over(W.partitionBy(F.lit(1))).alias("_total"),
+        F.sum("_sum").over(W.partitionBy(F.lit(1))).alias("_total"), "_whole",
     )
-    inside = W.partitionBy("_range").orderBy("_seq").rowsBetween(W.unboundedPreceding, 0)
-    summed = ranges.withColumn("_inside", F.sum("_value").over(inside)).join(F.broadcast(offsets), "_range")
-    summed = summed.withColumn(name, F.col("_inside") + F.col("_offset"))
+    inside = W.partitionBy("_cell").orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0)
+    summed = cells.withColumn("_inside", F.sum("_value").over(inside)).join(F.broadcast(offsets), "_cell")
+    summed = summed.filter(F.col("_whole").isNotNull()).withColumn(name, F.col("_inside") + F.col("_offset"))
     if total:
         summed = summed.withColumn(total, F.col("_total"))
-    return summed.drop("_range", "_seq", "_value", "_inside", "_offset", "_total")
+    return summed.drop("_key", "_cell", "_value", "_inside", "_offset", "_total", "_whole")
 
 
-def global_rank(df: DataFrame, order_by: Sequence[Column], name: str = "rank") -> DataFrame:
-    """1-based position of every row in the whole table."""
-    return running_total(df, order_by, F.lit(1).cast("long"), name)
+def global_rank(
+    df: DataFrame, key: Column, order_by: Sequence[Column], name: str = "rank", *, bounded: bool = False
+) -> DataFrame:
+    """1-based position of every row in the whole table; see ``running_total`` for ``key``."""
+    return running_total(df, key, order_by, F.lit(1).cast("long"), name, bounded=bounded)
 
 
 def exact_median(df: DataFrame, column: str) -> DataFrame:
     """One row with the interpolated median of ``column`` (NULLs left out), without one big sort task."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counts, [F.col(column)], F.col("_n"), "_upto", total="_all")
+    ranked = running_total(counts, F.col(column), [F.col(column)], F.col("_n"), "_upto", total="_all")
     lower, upper = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
 
     def covers(position: Column) -> Column:

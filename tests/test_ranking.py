@@ -17,7 +17,7 @@ def test_running_total_over_several_ranges(spark):
     df = spark.createDataFrame(rows, "id long, g string, v long, t string").repartition(7)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        out = ranking.running_total(df, [F.desc("v"), F.col("id")], F.col("v"), "upto", total="all").collect()
+        out = ranking.running_total(df, -F.col("v"), [F.desc("v"), F.col("id")], F.col("v"), "upto", total="all").collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     total, expected = 0, {}
@@ -30,7 +30,7 @@ def test_running_total_over_several_ranges(spark):
 
 def test_global_rank_has_no_gaps(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).alias("score"))
-    ranks = ranking.global_rank(df, [F.desc("score"), F.col("id")]).collect()
+    ranks = ranking.global_rank(df, -F.col("score"), [F.desc("score"), F.col("id")]).collect()
     assert sorted(r.rank for r in ranks) == list(range(1, 1001))
     assert min(ranks, key=lambda r: r["rank"]).id == 2
 
@@ -59,3 +59,36 @@ def test_exact_median(spark):
     for values in ([1.0, 5.0, 2.0], [1.0, 5.0, 2.0, 2.0], [7.0], [1.0] * 5 + [9.0] * 5):
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
         assert ranking.exact_median(df, "x").first().x == statistics.median(values)
+
+
+def test_ranks_start_no_job_when_built(spark):
+    from opinara.operators import compare, growth, summaries
+
+    scores = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 2)], "place_name string, sentiment_health_score double, total_reviews long")
+    scores = scores.withColumns({c: F.lit(1.0) for c in ("positive_pct", "negative_pct", "avg_review_rating")})
+    reviews = spark.createDataFrame([("p", "x", 1), ("p", "x", 2)], "place_id string, review_text string, batch int")
+    places = spark.createDataFrame([(1.0, 2.0)], "latitude double, longitude double")
+    context = spark.sparkContext
+    context.setJobGroup("build", "build")
+    built = [compare.comparison_ranking(scores), growth.batch_yield(reviews), summaries.map_centre(places)]
+    assert list(context.statusTracker().getJobIdsForGroup("build")) == []
+    context.setJobGroup("run", "run")
+    assert [b.count() for b in built] == [2, 2, 1]
+    # Every task of the last window holds a cell, not the table.
+    df = spark.range(50_000).select("id", F.lit(1).alias("n")).repartition(4)
+    ranked = ranking.global_rank(df, F.col("id"), [F.col("id")])
+    assert ranked.filter(F.col("rank") != F.col("id") + 1).count() == 0
+    assert "SinglePartition" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rank_of_few_and_null_keys(spark):
+    df = spark.createDataFrame([(None, "c"), (2.0, "a"), (2.0, "b"), (None, "a")], "score double, name string")
+    falling = F.coalesce(-F.col("score"), F.lit(float("inf")))
+    ranks = ranking.global_rank(df, falling, [F.desc("score"), F.col("name")]).collect()
+    assert {(r.score, r.name): r["rank"] for r in ranks} == {(2.0, "a"): 1, (2.0, "b"): 2, (None, "a"): 3, (None, "c"): 4}
+    same = ranking.global_rank(df, falling, [F.desc("score"), F.col("name")], bounded=True).collect()
+    assert sorted(map(str, same)) == sorted(map(str, ranks))
+    far = spark.range(-2000, 2000).select((F.col("id") * 0.5).alias("x"))
+    beyond = ranking.global_rank(far, F.col("x"), [F.col("x")], bounded=True)
+    assert beyond.filter(F.col("rank") != F.col("x") * 2 + 2001).count() == 0
+    assert ranking.global_rank(df.limit(0), falling, [F.desc("score")]).count() == 0

@@ -31,6 +31,11 @@ BOOSTERS: dict[str, float] = {"that": 0.293, "and": 0.293, "was": -0.293}
 PHRASES: dict[str, float] = {"the eres": 2.6, "the eres the": -1.7, "attion to": -1.4, "thst the": 0.8, "and the": 0.9}
 PHRASE_BOOSTERS: dict[str, float] = {"of the": 0.293}
 
+#: What makes contractions of the invented text: pattern and replacement.
+CONTRACTIONS: list[tuple[str, str]] = [
+    (" with ", " don't (cannot) "), (" for ", " it's 3.50, "), (" by ", ' "they\'ll" '), (" was ", " well-known... we've -- "),
+]
+
 # A place record holds a slice of a conversation, so that no record grows without bound.
 TURNS_PER_RECORD = 4
 
@@ -64,6 +69,14 @@ def copied_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).withColumn("place_id", F.col("area"))
 
 
+def contracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews in which frequent words of the invented text become contractions, quotes and numbers."""
+    text = F.col("review_text")
+    for pattern, replacement in CONTRACTIONS:
+        text = F.regexp_replace(text, pattern, replacement)
+    return reviews(spark, sf_dir).repartition("review_id").withColumn("review_text", text)
+
+
 # The test tables hold all documents in one row group, which one task would clean alone; the adapters deal them out, always.
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preprocess.clean_reviews(reviews(spark, sf_dir).repartition("review_id"))

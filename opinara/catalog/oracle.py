@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from opinara import lexicons
 from opinara.catalog import adapters as a
+from opinara.functions import text
 
 ORACLE: dict[str, str] = {}
 
@@ -330,6 +331,27 @@ UNION ALL SELECT DISTINCT 'place', place_name FROM scored WHERE place_name IS NO
 
 _add("clean_text", CLEAN, "SELECT review_id, clean_text FROM cleaned")
 _add("tokens", PREPARED, "SELECT review_id, array_to_string(tokens, ' ') AS tokens, token_count FROM prepared")
+
+
+def _replaced(column: str, rules) -> str:
+    """Nested replacements of all matches, groups written for DuckDB."""
+    for pattern, replacement in rules:
+        pattern, replacement = pattern.replace("'", "''"), replacement.replace("'", "''").replace("$", "\\")
+        column = f"regexp_replace({column}, '{pattern}', '{replacement}', 'g')"
+    return column
+
+
+CONTRACTED = CLEAN.replace("text AS review_text", f"{_replaced('text', a.CONTRACTIONS)} AS review_text")
+_HALVES = " ".join("WHEN '{}' THEN ['{}', '{}']".format(*(w.replace("'", "''") for w in (k, *v))) for k, v in text.TREEBANK_SPLITS.items())
+_add("treebank_tokens", CONTRACTED + f""",
+split AS (
+  SELECT review_id, flatten(list_transform(
+    list_filter(string_split({_replaced('lower(clean_text)', text.TREEBANK_RULES)}, ' '), lambda w: w <> ''),
+    lambda w: CASE w {_HALVES} ELSE [w] END)) AS ws FROM cleaned),
+kept AS (
+  SELECT review_id, list_filter(ws, lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w) AND NOT regexp_full_match(w, '\\p{{Nd}}+')) AS tokens
+  FROM split)""", """
+SELECT review_id, array_to_string(tokens, ' ') AS tokens, len(tokens)::INTEGER AS token_count FROM kept""")
 _add("preprocess", PREPARED, """
 SELECT review_id, clean_text, array_to_string(tokens, '|') AS tokens, token_count, word_count,
        review_length_bucket FROM prepared""")

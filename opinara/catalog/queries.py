@@ -14,7 +14,7 @@ from opinara.catalog import adapters as a
 from opinara.functions import labels, text
 from opinara.functions.numbers import half_even
 from opinara.operators import (
-    aspects, collection, compare, extract, growth, insights, keyphrases, keywords, merge, panels,
+    aspects, collection, compare, extract, growth, insights, keyphrases, keywords, merge, panels, preprocess,
     sentiment, summaries, topics,
 )
 from opinara.plans import export
@@ -204,6 +204,8 @@ _on("filter_options", a.scored, panels.filter_options)
 
 _on("clean_text", a.cleaned, lambda df: df.select("review_id", "clean_text"))
 _on("tokens", a.prepared, lambda df: df.select("review_id", F.array_join("tokens", " ").alias("tokens"), "token_count"))
+_on("treebank_tokens", a.contracted, lambda df: preprocess.preprocess_reviews(df, a.STOP_WORDS, treebank=True).select(
+    "review_id", F.array_join("tokens", " ").alias("tokens"), "token_count"))
 _on("preprocess", a.prepared, lambda df: df.select(
     "review_id", "clean_text", F.array_join("tokens", "|").alias("tokens"), "token_count", "word_count",
     "review_length_bucket"))

@@ -148,8 +148,57 @@ def words(text: Column, stop_words: Sequence[str] = ()) -> Column:
     return F.filter(found, lambda w: ~w.isin(stop)) if stop else found
 
 
-def tokens(text: Column, stop_words: Sequence[str]) -> Column:
-    """``words`` without all-digit ones."""
+#: Published treebank conventions for splitting words, in their order: pattern and what replaces it, groups as $1 (fixed values).
+#: They expect lower case and single blanks.  A dot after two letters or more ends a sentence, as no sentence model is at hand.
+TREEBANK_RULES: list[tuple[str, str]] = [
+    ('^"', "`` "),
+    (r"([ (\[{<])\"", "$1 `` "),
+    (r"([ (\[{<])''", "$1 `` "),
+    (r"([^.])\.([\])}>\"'»” ]*)$", "$1 . $2"),
+    (r"([^ .]{2})\. ", "$1 . "),
+    (r"([:,])([^0-9])", " $1 $2"),
+    (r"([:,])$", " $1 "),
+    (r"(\.{2,})", " $1 "),
+    (r"([;@#$%&?!])", " $1 "),
+    (r"([^'])' ", "$1 ' "),
+    (r"([\]\[(){}<>])", " $1 "),
+    ("--", " -- "),
+    ("$", " "),
+    ("''", " '' "),
+    ('"', " '' "),
+    (r"([^' ])('[smd]|') ", "$1 $2 "),
+    (r"([^' ])('ll|'re|'ve|n't) ", "$1 $2 "),
+]
+#: Words that the same conventions cut in two (fixed values).
+TREEBANK_SPLITS: dict[str, tuple[str, str]] = {
+    "cannot": ("can", "not"), "d'ye": ("d", "'ye"), "gimme": ("gim", "me"), "gonna": ("gon", "na"), "gotta": ("got", "ta"),
+    "lemme": ("lem", "me"), "more'n": ("more", "'n"), "wanna": ("wan", "na"), "'tis": ("'t", "is"), "'twas": ("'t", "was"),
+}
+
+
+def treebank_words(text: Column) -> Column:
+    """All words and marks of a cleaned text, lower-cased, by treebank conventions: an ordered cascade of rewrites.
+
+    Contractions are cut (``do n't``, ``it 's``), quotes told apart by side, marks and final dots are words of their own, and
+    numbers, dates and hyphenated words stay whole.  An empty text has none; NULL gives NULL.
+    """
+    rewritten = F.lower(text)
+    for pattern, replacement in TREEBANK_RULES:
+        rewritten = F.regexp_replace(rewritten, pattern, replacement)
+    found = F.filter(F.split(rewritten, " "), lambda w: w != "")
+    halves = {word: F.array(*map(F.lit, pair)) for word, pair in TREEBANK_SPLITS.items()}
+
+    def cut(word: Column) -> Column:
+        out = F.array(word)
+        for whole, pair in halves.items():
+            out = F.when(word == whole, pair).otherwise(out)
+        return F.when(word.isin(list(halves)), out).otherwise(F.array(word))
+
+    return F.flatten(F.transform(found, cut))
+
+
+def tokens(text: Column, stop_words: Sequence[str], *, treebank: bool = False) -> Column:
+    """``words``, or ``treebank_words`` of two characters or more, without stop words and all-digit ones."""
     stop = list(stop_words)
 
     def kept(word: Column) -> Column:
@@ -157,6 +206,8 @@ def tokens(text: Column, stop_words: Sequence[str]) -> Column:
         maybe_digits = (word < ":") | (word > "{")
         return ~word.isin(stop) & ~(maybe_digits & word.rlike(r"^\p{Nd}+$"))
 
+    if treebank:
+        return F.filter(treebank_words(text), lambda w: (F.char_length(w) > 1) & kept(w))
     return F.filter(words(text), kept)
 
 

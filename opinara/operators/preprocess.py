@@ -28,11 +28,11 @@ def measure_reviews(df: DataFrame, min_length: int = MIN_REVIEW_LENGTH) -> DataF
 
 
 def preprocess_reviews(
-    df: DataFrame, stop_words: Sequence[str], min_length: int = MIN_REVIEW_LENGTH
+    df: DataFrame, stop_words: Sequence[str], min_length: int = MIN_REVIEW_LENGTH, *, treebank: bool = False
 ) -> DataFrame:
-    """Clean, measure and tokenise every review."""
+    """Clean, measure and tokenise every review, into runs of word characters or by treebank conventions."""
     measured = measure_reviews(df, min_length)
-    tokenised = text.with_computed(measured, tokens=text.tokens(F.col("clean_text"), stop_words))
+    tokenised = text.with_computed(measured, tokens=text.tokens(F.col("clean_text"), stop_words, treebank=treebank))
     return tokenised.withColumn("token_count", F.size("tokens"))
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 import unicodedata
 
@@ -104,3 +105,37 @@ def test_thresholds(spark):
     rows = pct.select(labels.severity(F.col("p")).alias("s"), labels.priority_severity(F.col("p")).alias("q")).collect()
     assert [r.s for r in rows] == ["low", "medium", "medium", "high", "high", "critical", None]
     assert [r.q for r in rows] == ["medium", "medium", "medium", "high", "high", "critical", None]
+
+
+def treebank(sentence):
+    """The same conventions, one rule after the other, on a string."""
+    out = sentence.lower()
+    for pattern, replacement in text.TREEBANK_RULES:
+        out = re.sub(pattern, re.sub(r"\$(\d)", r"\\g<\1>", replacement), out)
+    return [half for word in out.split(" ") if word for half in text.TREEBANK_SPLITS.get(word, (word,))]
+
+
+def test_treebank_examples_and_random_strings(spark):
+    # What the published conventions give for these sentences.
+    examples = {
+        "they'll save and invest more.": "they 'll save and invest more .",
+        "hi, my name can't hello,": "hi , my name ca n't hello ,",
+        "good muffins cost $3.88 in new york. please buy me two of them. thanks.":
+            "good muffins cost $ 3.88 in new york . please buy me two of them . thanks .",
+        "\"we beat some pretty good teams to get here,\" he said.": "`` we beat some pretty good teams to get here , '' he said .",
+        "i cannot cannot work; gonna (lemme) try -- it's john's!": "i can not can not work ; gon na ( lem me ) try -- it 's john 's !",
+        "wait... what? no!!": "wait ... what ? no ! !", "well-known 10,000 at 5:30, e.g. here": "well-known 10,000 at 5:30 , e.g. here",
+        "": "", "a": "a", "don't": "do n't", "'tis": "'t is",
+    }
+    rng = random.Random(6)
+    stock = ["don't", "can't", "cannot", "it's", "x", "ab", "3.5", "1,000", "e.g.", "end.", "...", "--", '"', "''", "'", "(", ")", ",", ":", ";",
+             "'s", "we've", "they'll", "gonna", "wanna", "café", "naïve.", "한국", "a:b", "o'", "$5", "50%", "?!", "n't", "»", "”", "é'd"]
+    made = ["".join(rng.choice(stock) + rng.choice([" ", " ", ""]) for _ in range(rng.randint(1, 14))).strip() for _ in range(600)]
+    made = [" ".join(m.split()) for m in made]
+    df = spark.createDataFrame(list(enumerate([*examples, *made])), "id long, t string")
+    got = [r.w for r in df.select("id", text.treebank_words(F.col("t")).alias("w")).orderBy("id").collect()]
+    assert [" ".join(w) for w in got[:len(examples)]] == list(examples.values())
+    assert got == [treebank(t) for t in [*examples, *made]]
+    kept = spark.createDataFrame([("I don't like the 100 tiny, well-known rooms.",)], "t string").select(
+        text.tokens(F.col("t"), ["the"], treebank=True).alias("w")).first().w
+    assert kept == ["do", "n't", "like", "tiny", "well-known", "rooms"]

@@ -262,6 +262,10 @@ FROM (SELECT * FROM copied WHERE regexp_matches(review_text, '\\S')
      (VALUES ('parquet'), ('csv')) AS copies(copy)
 GROUP BY copy, place_name""")
 _add("scan_batches", REVIEWS, "SELECT review_id, place_name, review_rating, batch FROM reviews")
+_add("scan_listed_batches", REVIEWS, """
+SELECT review_id, place_name, CASE WHEN batch NOT BETWEEN 3 AND 5 THEN review_rating END AS review_rating,
+       CASE WHEN batch < 3 THEN 0 WHEN batch < 6 THEN 1 ELSE 2 END::INTEGER AS batch
+FROM reviews""")
 _add("latest_run", REVIEWS, "SELECT review_id, place_name, 'second' AS run_id FROM reviews")
 _add("scan_queries", "", """
 SELECT url AS query FROM pages WHERE page_id % 5 <> 0 AND page_id % 7 <> 0""")

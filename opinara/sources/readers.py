@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinara import schemas
 from opinara.functions.text import not_blank, strip
+from opinara.sources import manifest
 
 
 def typed_places(raw: DataFrame) -> DataFrame:
@@ -85,11 +86,28 @@ def read_coordinates(spark: SparkSession, path: str, *, skip_corrupt: bool = Fal
     return raw.select(*present)
 
 
+def read_listed_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """All batches that ``writers.write_batch`` listed below ``folder``, with their number; see ``read_batches``.
+
+    Columns and files are those of the manifest: no footer is opened to find them.
+    """
+    listed = manifest.entries(spark, folder)
+    if listed is None:
+        raise FileNotFoundError(f"no manifest of {folder}")
+    raw = manifest.scan(spark, listed).select("*", F.col("_metadata.file_path").alias("_path"))
+    return raw.withColumn("batch", F.regexp_extract("_path", r"batch_(\d+)_", 1).cast("int")).drop("_path")
+
+
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """Only the rows of the most recently modified run (``run_id`` partition) below ``path``.
+    """Only the rows of the most recently published run below ``path``, with its ``run_id``.
 
-    The newest run is found from file metadata; its id then prunes the partitions of the real scan.
+    The manifest names the run's files, so nothing of other runs is listed or opened.  A folder without a manifest is
+    searched for its most recently modified run instead, by file metadata.
     """
+    listed = manifest.entries(spark, path)
+    if listed is not None:
+        name = listed.orderBy(F.desc("published"), F.desc("name")).first()["name"]
+        return manifest.scan(spark, listed.filter(F.col("name") == name)).withColumn("run_id", F.lit(name))
     runs = spark.read.parquet(path)
     newest = runs.select("run_id", F.col("_metadata.file_modification_time").alias("modified")).agg(
         F.max(F.struct("modified", "run_id"))["run_id"].alias("run_id")

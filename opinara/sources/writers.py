@@ -8,14 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinara.sources import manifest
+
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
-    """Append an analysed run as its own partition; reading picks the newest."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    """Append an analysed run in its own folder and list it in the manifest; reading picks the newest."""
+    manifest.write_listed(df.drop("run_id"), path, f"{path}/run_id={run_id}", run_id)
+
+
+def write_batch(df: DataFrame, folder: str, number: int) -> None:
+    """Append a collected batch below ``folder`` and list it in the manifest."""
+    name = f"batch_{number:04d}_reviews.parquet"
+    manifest.write_listed(df, folder, f"{folder}/{name}", name)
 
 
 def csv_ready(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 import pytest
 from opinara.operators import collection, extract, merge
-from opinara.sources import readers, writers
+from opinara.sources import manifest, readers, writers
 from opinara.streaming import attempts, history, ingest
 from pyspark.sql import functions as F
 
@@ -71,10 +71,38 @@ def test_latest_run_and_first_existing(spark, tmp_path):
     writers.write_run(df, str(tmp_path / "runs"), "zz-old")
     writers.write_run(df.limit(1), str(tmp_path / "runs"), "aa-new")
     assert [r.run_id for r in readers.read_latest(spark, str(tmp_path / "runs")).collect()] == ["aa-new"]
+    # Only the newest run's files are known to the scan, and its rows were counted as they were written.
+    latest = readers.read_latest(spark, str(tmp_path / "runs"))
+    assert all("run_id=aa-new" in f for f in latest.inputFiles())
+    listed = {r.name: r for r in manifest.entries(spark, str(tmp_path / "runs")).collect()}
+    assert {n: r.rows for n, r in listed.items()} == {"zz-old": 3, "aa-new": 1}
+    # An entry that was never published, and files of a write that failed, do not count.
+    spark.range(9).write.parquet(str(tmp_path / "runs" / "run_id=aa-new" / "more"))
+    spark.range(9).write.mode("append").parquet(str(tmp_path / "runs" / "run_id=zz-old"))
+    assert readers.read_latest(spark, str(tmp_path / "runs")).count() == 1
+    writers.write_run(df, str(tmp_path / "runs"), "zz-old")
+    assert readers.read_latest(spark, str(tmp_path / "runs")).count() == 6
+    df.withColumn("run_id", F.lit("x")).write.partitionBy("run_id").parquet(str(tmp_path / "plain"))
+    assert readers.read_latest(spark, str(tmp_path / "plain")).count() == 3
     assert readers.first_existing(spark, str(tmp_path / "none"), str(tmp_path / "runs")) == str(tmp_path / "runs")
     assert readers.first_existing(spark, str(tmp_path / "none")) is None
 
 
+def test_batches_by_their_manifest(spark, tmp_path):
+    folder = str(tmp_path / "batches")
+    writers.write_batch(spark.createDataFrame([(1, "a")], "id long, t string"), folder, 1)
+    writers.write_batch(spark.createDataFrame([(2, 0.5)], "id long, score double"), folder, 2)
+    rows = sorted((r.batch, r.id, r.t, r.score) for r in readers.read_listed_batches(spark, folder).collect())
+    assert rows == [(1, 1, "a", None), (2, 2, None, 0.5)]
+    writers.write_batch(spark.createDataFrame([], "id long, t string"), folder, 3)
+    assert readers.read_listed_batches(spark, folder).count() == 2
+    writers.write_batch(spark.createDataFrame([("x",)], "id string"), folder, 4)
+    with pytest.raises(ValueError, match="id is bigint and string"):
+        readers.read_listed_batches(spark, folder)
+    with pytest.raises(FileNotFoundError):
+        readers.read_listed_batches(spark, str(tmp_path / "none"))
+
+
 def test_pending_and_new_queries(spark):
     listed = spark.createDataFrame([(q,) for q in "abcdefg"], "query string")
     status = spark.createDataFrame(

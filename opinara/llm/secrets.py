@@ -108,7 +108,8 @@ def scan_paths(df: DataFrame, ledger_path: str, text: str = "text", rules: Seque
     if ledger_exists:
         ledger = spark.read.schema(LEDGER).parquet(ledger_path)
     else:
-        ledger = spark.createDataFrame([], LEDGER)
+        # Empty without Python data, which would start a second pool of Python workers.
+        ledger = spark.range(0).select(F.from_json(F.lit(None).cast("string"), LEDGER).alias("row")).select("row.*")
     blob, findings, hit = fresh(df, "_blob"), fresh(df, "findings"), fresh(df, "_hit")
     content = F.coalesce(named(df, text).cast("string"), F.lit(""))
     addressed = df.withColumn(blob, F.sha2(content, 256))

@@ -36,6 +36,16 @@ CONTRACTIONS: list[tuple[str, str]] = [
     (" with ", " don't (cannot) "), (" for ", " it's 3.50, "), (" by ", ' "they\'ll" '), (" was ", " well-known... we've -- "),
 ]
 
+#: Query on the cube -> (result of the analysis, query on the reviews that gives the same rows).
+CUBED = {
+    "cube_stats": ("stats", "review_stats"),
+    "cube_comparison": ("sentiment_comparison", "compare_sentiment"),
+    "cube_aspects": ("aspect_summary", "aspect_summary"),
+    "cube_net_sentiment": ("aspect_net_sentiment", "compare_aspects"),
+    "cube_complaints": ("complaint_aspects", "complaint_aspects"),
+    "cube_strengths": ("strengths", "strengths"),
+}
+
 # A place record holds a slice of a conversation, so that no record grows without bound.
 TURNS_PER_RECORD = 4
 

@@ -803,3 +803,6 @@ SELECT count(capture_pct) AS places, {_r(_mean('capture_pct'), 2)} AS avg_captur
 _add("thin_places", CAPTURE, """
 SELECT place_name, collected, CASE WHEN collected = 0 THEN 'none' ELSE 'few' END AS coverage
 FROM captured WHERE collected < 10""")
+
+# Tables of the cube equal those taken from the reviews themselves.
+ORACLE.update({name: ORACLE[same] for name, (_, same) in a.CUBED.items()})

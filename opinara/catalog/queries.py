@@ -13,6 +13,7 @@ from opinara import lexicons, schemas
 from opinara.catalog import adapters as a
 from opinara.functions import labels, text
 from opinara.functions.numbers import half_even
+from opinara.operators import cube as cubes
 from opinara.operators import (
     aspects, collection, compare, extract, growth, insights, keyphrases, keywords, merge, panels, preprocess,
     sentiment, summaries, topics,
@@ -509,6 +510,20 @@ def pending_attempts(spark, sf_dir):
 
 # ---- everything --------------------------------------------------------------------------------
 
+def _from_cube(name: str, result: str) -> None:
+    """Register a result of the whole analysis that comes from the stored cubes of eight batches."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch_path(spark, "cube")
+        cubes.store_cubes(cubes.build_cube(a.analysed(spark, sf_dir), a.ASPECTS, ["batch"]), folder)
+        return AnalysisPlan(aspects=a.ASPECTS).cube_results(cubes.read_cube(spark, folder))[result]
+
+    REGISTRY[name] = run
+
+
+for _name, (_result, _same) in a.CUBED.items():
+    _from_cube(_name, _result)
+
+
 @query
 def analysis_plan(spark, sf_dir):
     """Row counts of every result of the whole analysis."""

@@ -93,8 +93,11 @@ def _or_zero(value: Column) -> Column:
 
 def aspect_summary(df: DataFrame, lexicon: Lexicon = lexicons.ASPECTS) -> DataFrame:
     """Per aspect: mentions, shares among labelled mentions, mean score and rating (zero rows kept)."""
-    grid = aspect_grid(df, lexicon)
+    return summary_of(aspect_grid(df, lexicon))
 
+
+def summary_of(grid: DataFrame) -> DataFrame:
+    """``aspect_summary`` from a grid without keys."""
     def share(part: Column) -> Column:
         return _or_zero(half_even(percent(part, F.col("labelled")), 1))
 
@@ -117,7 +120,11 @@ def _with_place(df: DataFrame) -> DataFrame:
 
 def place_aspects(df: DataFrame, lexicon: Lexicon = lexicons.ASPECTS) -> DataFrame:
     """Per place and aspect: mentions, rate, shares among all mentions, mean score."""
-    grid = aspect_grid(_with_place(df), lexicon, ["place_name"])
+    return place_aspects_of(aspect_grid(_with_place(df), lexicon, ["place_name"]))
+
+
+def place_aspects_of(grid: DataFrame) -> DataFrame:
+    """``place_aspects`` from a grid by place."""
     return grid.select(
         "place_name", "aspect", "mentions",
         half_even(percent(F.col("mentions"), F.col("reviews")), 1).alias("mention_rate"),
@@ -129,7 +136,11 @@ def place_aspects(df: DataFrame, lexicon: Lexicon = lexicons.ASPECTS) -> DataFra
 
 def compare_aspects(df: DataFrame, lexicon: Lexicon = lexicons.ASPECTS) -> DataFrame:
     """Per place and aspect: net sentiment from the unrounded shares."""
-    grid = aspect_grid(_with_place(df), lexicon, ["place_name"])
+    return comparison_of(aspect_grid(_with_place(df), lexicon, ["place_name"]))
+
+
+def comparison_of(grid: DataFrame) -> DataFrame:
+    """``compare_aspects`` from a grid by place."""
     positive = _or_zero(percent(F.col("positive"), F.col("mentions")))
     negative = _or_zero(percent(F.col("negative"), F.col("mentions")))
     return grid.select(
@@ -143,7 +154,11 @@ def compare_aspects(df: DataFrame, lexicon: Lexicon = lexicons.ASPECTS) -> DataF
 
 def aspect_coverage(df: DataFrame, lexicon: Lexicon = lexicons.ASPECTS) -> DataFrame:
     """Per place and aspect: share of the place's reviews that mention it (radar data)."""
-    grid = aspect_grid(_with_place(df), lexicon, ["place_name"])
+    return coverage_of(aspect_grid(_with_place(df), lexicon, ["place_name"]))
+
+
+def coverage_of(grid: DataFrame) -> DataFrame:
+    """``aspect_coverage`` from a grid by place."""
     return grid.select(
         "place_name", title_case(F.col("aspect")).alias("aspect"),
         half_even(percent(F.col("mentions"), F.col("reviews")), 4).alias("coverage_pct"),

@@ -35,7 +35,11 @@ def complaint_aspects(
     df: DataFrame, lexicon: Lexicon = lexicons.ASPECTS, min_reviews: int = MIN_NEGATIVE
 ) -> DataFrame:
     """Per aspect the negative reviews that mention it; most frequent first."""
-    grid = aspect_grid(df, lexicon, polarity="negative")
+    return complaints_of(aspect_grid(df, lexicon, polarity="negative"), min_reviews)
+
+
+def complaints_of(grid: DataFrame, min_reviews: int = MIN_NEGATIVE) -> DataFrame:
+    """``complaint_aspects`` from a grid of negative mentions."""
     found = grid.filter((F.col("mentions") > 0) & (F.col("negative_reviews") >= min_reviews))
     return found.select(
         "aspect",
@@ -66,8 +70,12 @@ def complaint_keywords(df: DataFrame, top_n: int = 15, min_reviews: int = MIN_NE
 
 def strengths(df: DataFrame, lexicon: Lexicon = lexicons.ASPECTS) -> DataFrame:
     """Per aspect the share of positive reviews that mention it; strongest first."""
-    grid = aspect_grid(df, lexicon, polarity="positive").filter(F.col("mentions") > 0)
-    return grid.select(
+    return strengths_of(aspect_grid(df, lexicon, polarity="positive"))
+
+
+def strengths_of(grid: DataFrame) -> DataFrame:
+    """``strengths`` from a grid of positive mentions."""
+    return grid.filter(F.col("mentions") > 0).select(
         "aspect",
         half_even(percent(F.col("mentions"), F.col("positive_reviews")), 1).alias("strength_score"),
         F.col("mentions").alias("positive_review_count"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from opinara import lexicons
 from opinara.operators import aspects, compare, insights, keywords, sentiment, summaries, topics
+from opinara.operators import cube as cubes
 from opinara.operators.preprocess import preprocess_reviews
 from opinara.session import scratch_path
 from opinara.sources import writers
@@ -36,33 +37,58 @@ class AnalysisPlan:
     def _stop_words(self, df: DataFrame) -> Sequence[str]:
         return lexicons.default_stop_words(df.sparkSession) if self.stop_words is None else self.stop_words
 
-    def results(self, analysed: DataFrame, *, with_topics: bool = True, compare_places: bool = True) -> dict[str, DataFrame]:
-        """One DataFrame per result; nothing but topic fitting and the global ranking runs here."""
-        stop = self._stop_words(analysed)
-        by_place = aspects.compare_aspects(analysed, self.aspects)
-        complaints = insights.complaint_aspects(analysed, self.aspects)
+    def cube_results(self, cube: DataFrame, *, compare_places: bool = True) -> dict[str, DataFrame]:
+        """Every result that follows from the cube of ``operators.cube``; no review is read."""
+        grid = cubes.cube_grid(cube, self.aspects)
+        placed = cubes.cube_grid(cube.filter(F.col("place_name").isNotNull()), self.aspects, ["place_name"])
+        complaints = insights.complaints_of(cubes.cube_grid(cube, self.aspects, polarity="negative"))
         advice = insights.recommendations(complaints, self.templates)
         tables = {
-            "stats": summaries.review_stats(analysed),
+            "stats": cubes.review_stats(cube),
+            "places_ranked": cubes.places_ranked(cube),
+            "sentiment_summary": cubes.sentiment_summary(cube),
+            "aspect_summary": aspects.summary_of(grid),
+            "aspect_comparison": aspects.place_aspects_of(placed),
+            "complaint_totals": cubes.complaint_totals(cube),
+            "complaint_aspects": complaints,
+            "strengths": insights.strengths_of(cubes.cube_grid(cube, self.aspects, polarity="positive")),
+            "insight_overview": cubes.insight_overview(cube),
+            "recommendations": advice,
+            "improvement_roadmap": insights.improvement_roadmap(advice),
+        }
+        if compare_places:
+            by_place = aspects.comparison_of(placed)
+            sentiments = cubes.compare_sentiment(cube)
+            advantages = compare.competitive_advantages(by_place, self.aspects)
+            tables.update({
+                "sentiment_comparison": sentiments,
+                "comparison_ranking": compare.comparison_ranking(sentiments),
+                "aspect_net_sentiment": by_place,
+                "aspect_best_worst": compare.aspect_best_worst(by_place),
+                "competitive_advantages": compare.advantages_by_place(advantages),
+            })
+        return tables
+
+    def results(
+        self, analysed: DataFrame, *, with_topics: bool = True, compare_places: bool = True, cube: DataFrame | None = None
+    ) -> dict[str, DataFrame]:
+        """One DataFrame per result; nothing but topic fitting runs here.
+
+        ``cube`` is the stored cube of ``analysed``; without it each result of the cube derives it anew.
+        """
+        stop = self._stop_words(analysed)
+        cube = cubes.build_cube(analysed, self.aspects) if cube is None else cube
+        tables = {
+            **self.cube_results(cube, compare_places=compare_places),
             "rating_distribution": summaries.rating_distribution(analysed),
-            "places_ranked": summaries.places_ranked(analysed),
-            "sentiment_summary": summaries.sentiment_summary(analysed),
-            "aspect_summary": aspects.aspect_summary(analysed, self.aspects),
             "aspect_samples": aspects.aspect_samples(analysed),
-            "aspect_comparison": aspects.place_aspects(analysed, self.aspects),
             "global_keywords": keywords.global_keywords(analysed, stop),
             "place_keywords": keywords.place_keywords(analysed, stop),
             "phrase_frequencies": keywords.phrase_frequencies(analysed, stop),
             "word_frequencies": keywords.word_frequencies(analysed, 50),
             "keyword_sentiment": keywords.keyword_sentiment(analysed, stop),
-            "complaint_totals": insights.complaint_totals(analysed),
-            "complaint_aspects": complaints,
             "complaint_keywords": insights.complaint_keywords(analysed),
             "complaint_samples": aspects.aspect_samples(analysed, 5, ["negative"]),
-            "strengths": insights.strengths(analysed, self.aspects),
-            "insight_overview": insights.insight_overview(analysed),
-            "recommendations": advice,
-            "improvement_roadmap": insights.improvement_roadmap(advice),
         }
         if with_topics:
             fitted = topics.fit_topics(analysed, stop, n_topics=self.n_topics)
@@ -71,30 +97,25 @@ class AnalysisPlan:
                 tables["topic_distribution"] = fitted.topic_distribution()
                 tables["topic_counts"] = fitted.topic_counts()
         if compare_places:
-            sentiments = summaries.compare_sentiment(analysed)
-            advantages = compare.competitive_advantages(by_place, self.aspects)
-            tables.update({
-                "sentiment_comparison": sentiments,
-                "comparison_ranking": compare.comparison_ranking(sentiments),
-                "aspect_net_sentiment": by_place,
-                "aspect_best_worst": compare.aspect_best_worst(by_place),
-                "competitive_advantages": compare.advantages_by_place(advantages),
-                "keyword_comparison": keywords.compare_keywords(analysed, stop),
-            })
+            tables["keyword_comparison"] = keywords.compare_keywords(analysed, stop)
         return tables
 
     def run(self, reviews: DataFrame, output: str | None = None) -> dict[str, DataFrame]:
         """Analyse, store the analysed table once, and derive every result from the stored table.
 
         The store lies in ``output`` or in the shared checkpoint folder, so results survive the loss
-        of executors and each of them scans only the columns it needs.
+        of executors and each of them scans only the columns it needs.  So does the cube, the only source of all results
+        that count, average or rank.
         """
         spark = reviews.sparkSession
         store = f"{output}/analysed" if output else scratch_path(spark, "analysed")
         writers.write_parquet(self.analyse(reviews), store)
         analysed = spark.read.parquet(store)
-        several = len(analysed.select("place_name").filter(F.col("place_name").isNotNull()).distinct().take(2)) > 1
-        tables = self.results(analysed, compare_places=several)
+        cells = f"{output}/cube" if output else scratch_path(spark, "cube")
+        writers.write_parquet(cubes.build_cube(analysed, self.aspects), cells)
+        cube = spark.read.parquet(cells)
+        several = len(cube.select("place_name").filter(F.col("place_name").isNotNull()).distinct().take(2)) > 1
+        tables = self.results(analysed, compare_places=several, cube=cube)
         if output:
             writers.write_results(tables, f"{output}/results")
         return {"analysed": analysed, **tables}

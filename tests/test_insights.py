@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from opinara.operators import aspects, compare, growth, insights, panels, summaries
+from opinara.operators import aspects, compare, cube, growth, insights, panels, summaries
 
 LEXICON = {"service": ["staff", "rude"], "price": ["cheap"], "quality": ["fresh"]}
 SCHEMA = ("review_id long, place_name string, clean_text string, tokens array<string>, sentiment string, "
@@ -175,3 +175,34 @@ def test_too_few_reviews_for_topics(spark):
     assert topics.topic_vocabulary(df, []).count() == 0
     many = spark.createDataFrame([(i, f"nice food number{i % 4}") for i in range(12)], "review_id long, clean_text string")
     assert [r.term for r in topics.topic_vocabulary(many, []).orderBy("rank").collect()][:2] == ["food number0", "food number1"]
+
+
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_cube_gives_the_tables_of_the_reviews(spark, tmp_path):
+    df = frame(spark, [*MIXED, (None, ["staff"], None, None), ("c", ["cheap"], "negative", None), ("b", ["rude"], "negative", 2.0)])
+    folder = str(tmp_path / "cube")
+    numbered = df.withColumn("batch", F.col("review_id") % 3)
+    for part in ("batch < 2", "batch = 2", "batch = 1"):
+        cube.store_cubes(cube.build_cube(numbered.filter(part), LEXICON, ["batch"]), folder)
+    stored = cube.read_cube(spark, folder)
+    assert rows_of(stored) == rows_of(cube.build_cube(df, LEXICON))
+    for keys, polarity in (((), None), (("place_name",), "negative")):
+        expected = aspects.aspect_grid(df, LEXICON, keys, polarity)
+        assert rows_of(cube.cube_grid(stored, LEXICON, keys, polarity)) == rows_of(expected)
+    for name in ("review_stats", "places_ranked", "sentiment_summary", "compare_sentiment"):
+        assert rows_of(getattr(cube, name)(stored)) == rows_of(getattr(summaries, name)(df)), name
+    for name in ("complaint_totals", "insight_overview"):
+        assert rows_of(getattr(cube, name)(stored)) == rows_of(getattr(insights, name)(df)), name
+
+
+def test_cube_of_nothing_and_of_bare_reviews(spark):
+    df = frame(spark, MIXED).filter("false")
+    empty = cube.build_cube(df, LEXICON)
+    assert empty.count() == 0
+    assert rows_of(cube.cube_grid(empty, LEXICON)) == rows_of(aspects.aspect_grid(df, LEXICON))
+    assert rows_of(cube.review_stats(empty)) == rows_of(summaries.review_stats(df))
+    bare = cube.build_cube(frame(spark, MIXED).drop("review_text", "word_count", "sentiment_label_num"), LEXICON)
+    assert cube.review_stats(bare).first().avg_word_count is None

@@ -33,7 +33,10 @@ HOST_WEIGHT, SUFFIX_WEIGHT, TABLE_WEIGHT = 20.0, 50.0, 5.0
 LEAST_PROBABILITY, LEAST_LETTERS = 0.5, 1
 #: Prior share of texts in no known language.
 UNKNOWN = 0.01
+#: Languages learned, those with the most letters; texts labelled otherwise teach nothing and are judged like all others.
 MOST_LANGUAGES = 256
+#: Tables of counts that a task holds before it hands them on.
+_HELD = 64
 _SLICE_CHARS, _SLICE_ROWS = 1 << 18, 256
 
 
@@ -92,11 +95,21 @@ def _trigrams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.nda
         at = stop
 
 
-def fit(df: DataFrame, text: str, label: str) -> TextModel:
-    """Trigram counts of all rows with a label.  A task hands on one row of counts for each language it saw."""
+def fit(df: DataFrame, text: str, label: str, most: int = MOST_LANGUAGES) -> TextModel:
+    """Trigram counts of all rows with a label, for the ``most`` languages with the most letters (ties by name).
+
+    A task hands on its counts whenever it holds many labels, so a column of stray labels costs rows, not memory.
+    """
     labelled = df.select(named(df, label).cast("string").alias("label"), named(df, text).cast("string").alias("text"))
     labelled = labelled.filter("label IS NOT NULL AND text IS NOT NULL")
 
+    def handed(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for language, table in sorted(counts.items()):
+            seen = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([language] * len(seen)), pa.array(seen, pa.int32()), pa.array(table[seen])],
+                names=["language", "bucket", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -106,19 +119,18 @@ def fit(df: DataFrame, text: str, label: str) -> TextModel:
                 for language in set(of.tolist()):
                     table = counts.setdefault(language, np.zeros(BUCKETS, np.int64))
                     table += np.bincount(buckets[of == language], minlength=BUCKETS)
-        for language, table in sorted(counts.items()):
-            seen = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([language] * len(seen)), pa.array(seen, pa.int32()), pa.array(table[seen])],
-                names=["language", "bucket", "n"])
+                if len(counts) >= _HELD:
+                    yield from handed(counts)
+                    counts = {}
+        yield from handed(counts)
 
     counted = labelled.mapInArrow(run, "language string, bucket int, n long").groupBy("language", "bucket").agg(
         F.sum("n").alias("n"))
-    # Languages times buckets bound what reaches the driver, and the number of languages is checked.
+    # Languages times buckets bound what reaches the driver, and the number of languages is bounded here.
     counted = written(counted, "trigrams")
-    languages = tuple(r[0] for r in counted.select("language").distinct().orderBy("language").limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in the labels")
+    largest = counted.groupBy("language").agg(F.sum("n").alias("letters")).orderBy(F.desc("letters"), "language").limit(most)
+    languages = tuple(sorted(r["language"] for r in largest.collect()))
+    counted = counted.filter(F.col("language").isin(list(languages)))
     table = np.full((len(languages), BUCKETS), 0.5)
     packed = counted.groupBy("language").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
     for row in packed.toLocalIterator():
@@ -169,7 +181,8 @@ def identify(df: DataFrame, text: str = "text", host: str | None = None, declare
     likelihoods from unless ``model`` is given.  ``probability`` is that of ``language``, with no known language as
     one more alternative.  A text without letters (null and empty ones too) is rejected and
     has no language.  Ties go to the language first in order.  Without any language to choose from, nothing is
-    accepted.  Equal rows get equal results, an empty table gives an empty one, and clashing names get a suffix.
+    accepted.  Labels beyond the ``MOST_LANGUAGES`` with the most letters are no languages to choose from.  Equal rows get
+    equal results, an empty table gives an empty one, and clashing names get a suffix.
     """
     model = model or fit(df, text, label)
     languages = list(model.languages)

@@ -107,6 +107,22 @@ def test_texts_in_no_known_language_go(spark):
     assert kept == docs.count()
 
 
+def test_more_labels_than_languages(spark):
+    rows = [(i, "the cat sat on the mat and the dog", "en") for i in range(20)]
+    rows += [(100 + i, "der Hund und die Katze auf der Matte", "de") for i in range(20)]
+    rows += [(1000 + i, f"stray {i}", f"label{i}") for i in range(langid.MOST_LANGUAGES + 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    few = langid.fit(docs, "text", "lang", most=2)
+    assert few.languages == ("de", "en")
+    alone = langid.fit(docs.filter("lang IN ('de', 'en')"), "text", "lang")
+    assert np.array_equal(few.log_p, alone.log_p)
+    many = langid.fit(docs, "text", "lang")
+    assert len(many.languages) == langid.MOST_LANGUAGES and {"de", "en"} <= set(many.languages)
+    found = {r["doc_id"]: r for r in langid.identify(docs, declared="lang", model=few).collect()}
+    assert len(found) == len(rows)
+    assert all(found[i]["language"] == "en" and found[100 + i]["language"] == "de" for i in range(20))
+
+
 def test_trigrams_see_whole_texts():
     (start, rows, _, counts), = langid.trigrams(pa.array(["ab c", None, "", "Ünd"]))
     assert start == 0 and counts.tolist() == [3, 0, 0, 3] and rows.tolist() == [0, 0, 0, 3, 3, 3]

@@ -54,7 +54,7 @@ def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     got = corpus_pipeline.run(spark, SF_DIR).collect()
     rows = [r for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")]
-    component = brute.components([r["doc_id"] for r in rows], [brute.shingles(r["text"]) for r in rows])
+    component = brute.components([r["doc_id"] for r in rows], [brute.shingles(r["text"], 5) for r in rows], 80, 100)
     kept = [r for r, c in zip(rows, component) if r["doc_id"] == c]
     copies = collections.Counter(r["doc_id"] for r in got)
     assert set(copies) <= {r["doc_id"] for r in kept} and max(copies.values()) <= 2

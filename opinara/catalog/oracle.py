@@ -450,11 +450,39 @@ summed AS (
                                    WHEN questions <= 3 THEN questions * 0.18::DOUBLE ELSE 0.96::DOUBLE END) AS valence
   FROM marked)""" + _labels("summed", "valence"), f"SELECT {_LABEL_COLUMNS} FROM scored")
 
-_add("model_sentiment", CLEAN, f"""
-SELECT review_id, ['positive', 'neutral', 'negative'][length(clean_text) % 3 + 1] AS sentiment,
-       (length(clean_text) % 100) / 100.0::DOUBLE AS sentiment_score,
-       (1 - length(clean_text) % 3)::INTEGER AS sentiment_label_num
-FROM cleaned""")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_add("model_sentiment", CLEAN + f""",
+marked AS (
+  SELECT doc_id AS review_id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label
+  FROM labels WHERE doc_id % 5 <> 0 AND toxic IS NOT NULL),
+names AS (SELECT unnest(['negative', 'neutral', 'positive']) AS label),
+texts AS (
+  SELECT names.label, count(marked.review_id) + 1 AS n
+  FROM names LEFT JOIN (marked JOIN cleaned USING (review_id)) marked USING (label) GROUP BY ALL),
+priors AS (SELECT label, round_even(ln(n / sum(n) OVER ()) * 1000000, 0)::BIGINT AS w FROM texts),
+spoken AS (
+  SELECT review_id, ('0x' || substr(md5(word), 1, 4))::INTEGER AS bucket
+  FROM (SELECT review_id, unnest(string_split(translate(clean_text, '{_UPPER}', '{_LOWER}'), ' ')) AS word FROM cleaned)
+  WHERE word <> ''),
+tf AS MATERIALIZED (SELECT review_id, bucket, count(*) AS n FROM spoken GROUP BY ALL),
+learned AS (SELECT label, bucket, sum(n) AS n FROM tf JOIN marked USING (review_id) GROUP BY ALL),
+amounts AS (SELECT label, coalesce(sum(n), 0) + 65536 AS total FROM names LEFT JOIN learned USING (label) GROUP BY ALL),
+weights AS MATERIALIZED (
+  SELECT bucket, label, round_even(ln((coalesce(n, 0) + 1)::DOUBLE / total::DOUBLE) * 1000000, 0)::BIGINT AS w
+  FROM (SELECT DISTINCT bucket FROM tf) CROSS JOIN amounts LEFT JOIN learned USING (label, bucket)),
+sums AS (
+  SELECT review_id, label, sum(tf.n * w)::BIGINT AS w, sum(tf.n)::BIGINT AS n FROM tf JOIN weights USING (bucket) GROUP BY ALL),
+evidence AS (
+  SELECT review_id, label, (priors.w + coalesce(sums.w, 0) * (least(coalesce(n, 0), 50)::DOUBLE / greatest(coalesce(n, 0), 1)::DOUBLE))
+                           / 1000000.0::DOUBLE AS e
+  FROM cleaned CROSS JOIN priors LEFT JOIN sums USING (review_id, label)),
+judged AS (
+  SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY e DESC, label) AS place,
+         1.0::DOUBLE / sum(exp(e - m)) OVER (PARTITION BY review_id) AS p
+  FROM (SELECT *, max(e) OVER (PARTITION BY review_id) AS m FROM evidence))""", f"""
+SELECT review_id, label AS sentiment, {_r('p', 4)} AS sentiment_score,
+       CASE label WHEN 'positive' THEN 1 WHEN 'neutral' THEN 0 ELSE -1 END::INTEGER AS sentiment_label_num
+FROM judged WHERE place = 1""")
 
 # ---- aggregates --------------------------------------------------------------------------------
 
@@ -697,6 +725,80 @@ correlation AS (
 _add("keyword_sentiment", CORRELATION, "SELECT * FROM correlation")
 _add("negative_keywords", CORRELATION, "SELECT * FROM correlation ORDER BY sentiment_bias, keyword LIMIT 25")
 
+# ---- phrases -----------------------------------------------------------------------------------
+
+_DIMS, _TOP, _DIVERSITY = 64, 10, "0.3::DOUBLE"
+VECTORS = WORDS + f""",
+paired AS (
+  SELECT unnest(list_zip(words, words[2:])) AS p FROM worded UNION ALL SELECT unnest(list_zip(words, words[3:])) FROM worded),
+counted AS (SELECT p[1] AS l, p[2] AS r, count(*) AS n FROM paired WHERE p[1] IS NOT NULL AND p[2] IS NOT NULL GROUP BY ALL),
+sided AS (SELECT l AS word, r AS other, n FROM counted UNION ALL SELECT r, l, n FROM counted),
+hashed AS (
+  SELECT word, n, ('0x' || substr(md5(other), 8 * k + 1, 8))::BIGINT AS h FROM sided, range(4) t(k)),
+cells AS MATERIALIZED (
+  SELECT word, (h // 2) % {_DIMS} AS dim, sum(n * (1 - 2 * (h % 2)))::DOUBLE AS v FROM hashed GROUP BY ALL),
+near AS MATERIALIZED (SELECT word, sum(n)::DOUBLE AS n FROM sided GROUP BY word),
+chance AS (SELECT dim, sum(v) AS t FROM cells GROUP BY dim),
+beyond AS (
+  SELECT word, d.dim, coalesce(c.v, 0.0::DOUBLE) - near.n * coalesce(t, 0.0::DOUBLE) / (SELECT sum(n) FROM near) AS x
+  FROM near CROSS JOIN range({_DIMS}) d(dim) LEFT JOIN cells c USING (word, dim) LEFT JOIN chance ON chance.dim = d.dim),
+topped AS (SELECT *, max(abs(x)) OVER (PARTITION BY word) AS top FROM beyond),
+vectors AS MATERIALIZED (
+  SELECT word, list(CASE WHEN top > 0 THEN floor(x * 127.0::DOUBLE / top + 0.5::DOUBLE) ELSE 0 END::INTEGER ORDER BY dim) AS vector
+  FROM topped GROUP BY word)"""
+
+_add("word_vectors", VECTORS, "SELECT word, array_to_string(vector, ',') AS vector FROM vectors")
+
+
+def _greedy_choice() -> str:
+    """One table for each choice: all phrases with their relevance, largest overlap with a chosen one, and whether they are chosen."""
+    def cosine(other: str) -> str:
+        scale = f"(size * {other}.size)"
+        return f"CASE WHEN {scale} > 0 THEN list_dot_product(vec, {other}.vec) / {scale} ELSE 0.0::DOUBLE END"
+
+    first = "row_number() OVER (PARTITION BY review_id ORDER BY {} phrase) = 1"
+    steps = [f"""
+related AS MATERIALIZED (
+  SELECT p.*, {cosine('r').replace('vec,', 'p.vec,').replace('(size', '(p.size')} AS relevance
+  FROM phrased p JOIN abouts r USING (review_id)),
+step1 AS MATERIALIZED (
+  SELECT *, NULL::DOUBLE AS overlap, {first.format('relevance DESC,')} AS newly, newly AS taken FROM related)"""]
+    for k in range(2, _TOP + 1):
+        steps.append(f"""
+seen{k} AS (
+  SELECT s.* EXCLUDE (overlap, newly),
+         greatest(coalesce(s.overlap, -2.0::DOUBLE), {cosine('c').replace('vec,', 's.vec,').replace('(size', '(s.size')}) AS overlap
+  FROM step{k - 1} s LEFT JOIN (SELECT * FROM step{k - 1} WHERE newly) c USING (review_id)),
+gained{k} AS (SELECT *, (1 - {_DIVERSITY}) * relevance - {_DIVERSITY} * overlap AS gain FROM seen{k}),
+step{k} AS MATERIALIZED (
+  SELECT * EXCLUDE (taken, gain), NOT taken AND {first.format('taken, gain DESC,')} AS newly, taken OR newly AS taken
+  FROM gained{k})""")
+    return ",".join(steps)
+
+
+_SIZE = "sqrt(list_dot_product(vec, vec))"
+_add("mmr_keyphrases", VECTORS + f""",
+grams AS (
+  SELECT review_id, unnest(words) AS a, NULL AS b FROM worded
+  UNION SELECT review_id, p[1], p[2] FROM (SELECT review_id, unnest(list_zip(words, words[2:])) AS p FROM worded)
+  WHERE p[1] IS NOT NULL AND p[2] IS NOT NULL),
+zeros AS (SELECT list(0::INTEGER) AS z FROM range({_DIMS})),
+summed AS (
+  SELECT review_id, concat_ws(' ', a, b) AS phrase,
+         list_transform(list_zip(coalesce(v.vector, z), coalesce(w.vector, z)), lambda x: (x[1] + x[2])::DOUBLE) AS vec
+  FROM grams LEFT JOIN vectors v ON a = v.word LEFT JOIN vectors w ON b = w.word CROSS JOIN zeros),
+phrased AS (SELECT *, {_SIZE} AS size FROM summed),
+spoken AS (
+  SELECT review_id, i, sum(n * vector[i])::DOUBLE AS x
+  FROM (SELECT review_id, word, count(*) AS n FROM (SELECT review_id, unnest(words) AS word FROM worded) GROUP BY ALL)
+  JOIN vectors USING (word), range(1, {_DIMS} + 1) t(i) GROUP BY ALL),
+told AS (SELECT review_id, list(x ORDER BY i) AS vec FROM spoken GROUP BY review_id),
+abouts AS (
+  SELECT review_id, coalesce(told.vec, list_transform(z, lambda x: x::DOUBLE)) AS vec, sqrt(list_dot_product(vec, vec)) AS size
+  FROM worded LEFT JOIN told USING (review_id) CROSS JOIN zeros),{{greedy}}""".replace("{greedy}", _greedy_choice()), f"""
+SELECT review_id, row_number() OVER (PARTITION BY review_id ORDER BY relevance DESC, phrase)::INTEGER AS rank, phrase,
+       {_r('relevance', 4)} AS score FROM step{_TOP} WHERE taken""")
+
 # ---- merging and deduplication -----------------------------------------------------------------
 
 _add("union_batches", REVIEWS, """

@@ -16,11 +16,11 @@ from opinara.functions.numbers import half_even
 from opinara.operators import cube as cubes
 from opinara.operators import (
     aspects, collection, compare, extract, growth, insights, keyphrases, keywords, merge, panels, preprocess,
-    sentiment, summaries, topics,
+    scorer, sentiment, summaries, topics, vectors,
 )
 from opinara.plans import export
 from opinara.plans.analysis import AnalysisPlan
-from opinara.session import scratch_path
+from opinara.session import materialise, scratch_path
 from opinara.sources import readers, writers
 from opinara.streaming import attempts, history, ingest
 
@@ -248,13 +248,11 @@ def lexicon_sentiment(spark, sf_dir):
 @query
 def model_sentiment(spark, sf_dir):
     cleaned = a.cleaned(spark, sf_dir)
-
-    def load():
-        # A stand-in for a model: label and score follow from the length of the text.
-        names = ["positive", "neutral", "negative"]
-        return lambda texts: [(names[len(t) % 3], len(t) % 100 / 100.0) for t in texts]
-
-    rated = sentiment.model_sentiment(cleaned, load)
+    known = a.labelled(spark, sf_dir).select("review_id", F.col("sentiment").alias("label"))
+    # A fifth of the labels is held out; tests measure the scorer on it.
+    fitted = scorer.fit_scorer(cleaned.join(known.filter(F.col("review_id") % 5 != 0), "review_id"), "label")
+    weights = spark.sparkContext.broadcast(fitted)  # 65,536 rows of three numbers
+    rated = sentiment.model_sentiment(cleaned, lambda: weights.value)
     return rated.select("review_id", "sentiment", "sentiment_score", "sentiment_label_num")
 
 
@@ -367,17 +365,14 @@ def topic_invariants(spark, sf_dir):
 
 @query
 def mmr_keyphrases(spark, sf_dir):
-    vectors = a.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    known = vectors.agg(F.count(F.lit(1))).scalar()
-    phrases = keyphrases.candidate_phrases(a.cleaned(spark, sf_dir), a.STOP_WORDS)
+    return keyphrases.review_keyphrases(a.cleaned(spark, sf_dir), a.STOP_WORDS)
 
-    def nearest(table: DataFrame, number) -> DataFrame:
-        # The test embeddings belong to no text, so a hash picks the vector of a phrase or review.
-        return table.withColumn("vec_id", F.pmod(number, known)).join(vectors, "vec_id").drop("vec_id")
 
-    phrase_vectors = nearest(phrases.select("phrase").distinct(), F.crc32("phrase"))
-    review_vectors = nearest(a.reviews(spark, sf_dir).select("review_id"), F.col("review_id"))
-    return keyphrases.mmr_keyphrases(phrases, phrase_vectors, review_vectors)
+@query
+def word_vectors(spark, sf_dir):
+    table = materialise(keywords.review_words(a.cleaned(spark, sf_dir), a.STOP_WORDS))
+    found = vectors.word_vectors(table)
+    return found.select("word", F.array_join(F.transform("vector", lambda x: x.cast("string")), ",").alias("vector"))
 
 
 # ---- merging and deduplication -----------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,12 @@ from opinara.functions.numbers import half_even
 from opinara.functions.text import ngrams
 from opinara.operators.keywords import review_words
 from opinara.operators.ranking import top_per_group
+from opinara.operators.vectors import word_vectors
+from opinara.session import materialise
+
+#: Reviews that share one lookup of word vectors, and phrases compared at a time.
+BLOCK_REVIEWS = 128
+CHUNK = 1 << 16
 
 
 def candidate_phrases(df: DataFrame, stop_words: Sequence[str], sizes: Sequence[int] = (1, 2)) -> DataFrame:
@@ -21,6 +27,20 @@ def candidate_phrases(df: DataFrame, stop_words: Sequence[str], sizes: Sequence[
     return review_words(df, stop_words).select("review_id", F.explode(F.array_distinct(grams)).alias("phrase"))
 
 
+def _greedy(
+    relevance: np.ndarray, similarity: Callable[[int], np.ndarray], top_n: int, diversity: float,
+) -> list[int]:
+    """Places of the chosen phrases, most relevant first; of equal ones the first is taken."""
+    chosen = [int(np.argmax(relevance))]
+    overlap = similarity(chosen[0])
+    while len(chosen) < min(top_n, len(relevance)):
+        gain = (1 - diversity) * relevance - diversity * overlap
+        gain[chosen] = -np.inf
+        chosen.append(int(np.argmax(gain)))
+        overlap = np.maximum(overlap, similarity(chosen[-1]))
+    return sorted(chosen, key=lambda i: (-relevance[i], i))
+
+
 def mmr_keyphrases(
     candidates: DataFrame, phrase_vectors: DataFrame, review_vectors: DataFrame, *,
     top_n: int = 10, diversity: float = 0.3,
@@ -39,14 +59,7 @@ def mmr_keyphrases(
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
         target = np.asarray(group["about"].iloc[0], dtype=float)
         relevance = matrix @ (target / max(np.linalg.norm(target), 1e-12))
-        chosen = [int(np.argmax(relevance))]
-        overlap = matrix @ matrix[chosen[0]]
-        while len(chosen) < min(top_n, len(group)):
-            gain = (1 - diversity) * relevance - diversity * overlap
-            gain[chosen] = -np.inf
-            chosen.append(int(np.argmax(gain)))
-            overlap = np.maximum(overlap, matrix @ matrix[chosen[-1]])
-        chosen.sort(key=lambda i: (-relevance[i], i))
+        chosen = _greedy(relevance, lambda i: matrix @ matrix[i], top_n, diversity)
         return pd.DataFrame({
             "review_id": group["review_id"].iloc[0],
             "rank": np.arange(1, len(chosen) + 1),
@@ -60,6 +73,70 @@ def mmr_keyphrases(
     )
 
 
+def _review_phrases(
+    words: list[str], vectors: dict[str, np.ndarray], zero: np.ndarray, sizes: Sequence[int], top_n: int, diversity: float,
+) -> tuple[list[str], np.ndarray]:
+    """The chosen phrases of one review and their relevance.
+
+    Phrase and review vectors are sums of word vectors, hence whole numbers: products are exact in any order.
+    """
+    phrases = sorted({tuple(words[i:i + n]) for n in sizes for i in range(len(words) - n + 1)}, key=" ".join)
+    if not phrases:
+        return [], np.zeros(0)
+    about = np.zeros(len(zero))
+    for word in words:
+        about += vectors.get(word, zero)
+    matrix = np.zeros((len(phrases), len(zero)), np.int16)
+    for row, phrase in zip(matrix, phrases):
+        for word in phrase:
+            row += vectors.get(word, zero)
+
+    def cosine(vector: np.ndarray) -> np.ndarray:
+        size, out = np.sqrt(vector @ vector), np.zeros(len(phrases))
+        for start in range(0, len(phrases), CHUNK):
+            part = matrix[start:start + CHUNK].astype(float)
+            scale = np.sqrt((part * part).sum(1)) * size
+            np.divide(part @ vector, scale, out=out[start:start + CHUNK], where=scale > 0)
+        return out
+
+    relevance = cosine(about)
+    chosen = _greedy(relevance, lambda i: cosine(matrix[i].astype(float)), top_n, diversity)
+    return [" ".join(phrases[i]) for i in chosen], relevance[chosen]
+
+
+def review_keyphrases(
+    df: DataFrame, stop_words: Sequence[str], *, sizes: Sequence[int] = (1, 2), top_n: int = 10, diversity: float = 0.3,
+    dims: int = 64, window: int = 2,
+) -> DataFrame:
+    """(review_id, rank, phrase, score): relevant but diverse phrases of each review, with vectors learned from ``df``.
+
+    Words get ``vectors.word_vectors``; a phrase or review is the sum of its words, and the score is the cosine of the two.
+    A word's vector is looked up once for each block of ``BLOCK_REVIEWS`` reviews, not for each occurrence.  A word without
+    a vector adds nothing, and a phrase of such words has score 0.  A review without words has no phrases.
+    """
+    if max(sizes, default=0) * 127 > np.iinfo(np.int16).max or min(sizes, default=0) < 1:
+        raise ValueError("sizes must lie between 1 and 258 words")
+    table = materialise(review_words(df, stop_words))
+    vectors = word_vectors(table, dims=dims, window=window)
+    blocks = max(1, -(-table.count() // BLOCK_REVIEWS))
+    table = table.withColumn("block", F.pmod(F.xxhash64("review_id"), F.lit(blocks)))
+    needed = table.select(F.col("block").alias("part"), F.explode("words").alias("word")).distinct().join(vectors, "word")
+
+    def choose(reviews: pd.DataFrame, lookup: pd.DataFrame) -> pd.DataFrame:
+        known = {w: np.asarray(v, np.int16) for w, v in zip(lookup["word"], lookup["vector"])}
+        zero = np.zeros(dims, np.int16)
+        parts = []
+        for review, words in zip(reviews["review_id"], reviews["words"]):
+            phrases, scores = _review_phrases(list(words), known, zero, sizes, top_n, diversity)
+            parts.append(pd.DataFrame({
+                "review_id": review, "rank": np.arange(1, len(phrases) + 1, dtype=np.int32), "phrase": phrases,
+                "score": scores.round(4) + 0.0}))
+        return pd.concat(parts) if parts else pd.DataFrame({"review_id": [], "rank": [], "phrase": [], "score": []})
+
+    return table.groupBy("block").cogroup(needed.groupBy("part")).applyInPandas(
+        choose, "review_id long, rank int, phrase string, score double")
+
+
 def summed_keyphrases(phrases: DataFrame, keys: Sequence[str], top_n: int) -> DataFrame:
     """Total phrase scores per group (or over everything) and the best ``top_n``."""
     totals = phrases.groupBy(*keys, "phrase").agg(half_even(F.sum("score"), 4).alias("score"))

@@ -25,7 +25,7 @@ def test_matches_sql(spark, connection, name):
 
 def test_registry_is_complete():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"topic_words", "topic_counts", "mmr_keyphrases", "analysis_plan"}
+    assert set(QUERIES) - set(ORACLE) == {"topic_words", "topic_counts", "analysis_plan"}
 
 
 def test_entry(spark):

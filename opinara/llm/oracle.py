@@ -35,6 +35,29 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM docs LEFT JOIN by_blob USING (blob)"""
 
 
+def jaccard_links() -> str:
+    """Sizes of all intersections from a join on shingles, one text of each kind."""
+    return r"""
+WITH split AS (
+    SELECT text, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+sets AS MATERIALIZED (
+    SELECT row_number() OVER () AS node, text, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g
+    FROM split),
+copies AS (SELECT node, count(*) AS n FROM documents JOIN sets USING (text) GROUP BY node),
+grams AS MATERIALIZED (SELECT node, len(g) AS size, hash(unnest(g)) AS gram FROM sets),
+shared AS (
+    SELECT a.node AS a, b.node AS b, count(*) AS common, any_value(a.size + b.size) AS sizes
+    FROM grams a JOIN grams b ON a.gram = b.gram AND a.node <> b.node GROUP BY ALL),
+near AS (
+    SELECT a AS node, sum(n)::BIGINT AS n FROM shared JOIN copies ON copies.node = b WHERE 100 * common >= 85 * (sizes - common) GROUP BY a)
+SELECT doc_id, coalesce(len(g), 0)::BIGINT AS n_shingles,
+       CASE WHEN coalesce(len(g), 0) = 0 THEN 0 ELSE copies.n - 1 + coalesce(near.n, 0) END::BIGINT AS n_links
+FROM documents LEFT JOIN sets USING (text) LEFT JOIN copies USING (node) LEFT JOIN near USING (node)"""
+
+
 def licence_scan() -> str:
     rows = ", ".join(
         f"({_sql_text(name)}, [{', '.join(_sql_text(b) for b in licences.notice_bigrams(text))}])"

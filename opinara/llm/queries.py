@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.llm import (
-    bpe, jaccard, langid, licences, lm, mixing, negatives, neighbours, oracle, packing, periods, quality, secrets, sharding,
+    bpe, jaccard, langid, licences, links, lm, mixing, negatives, neighbours, oracle, packing, periods, quality, secrets, sharding,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,12 @@ def op2_jaccard_join(spark, sf_dir):
     return jaccard.components(_table(spark, sf_dir, "documents"))
 
 
+@query
+def jaccard_links(spark, sf_dir):
+    """The same operator with all its links: to how many other documents each one links."""
+    return links.link_counts(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_lm_scoring(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
@@ -135,6 +141,7 @@ def op6_secret_scan(spark, sf_dir):
                         secrets.digest(findings).alias("spans"))
 
 
+ORACLE["jaccard_links"] = oracle.jaccard_links()
 ORACLE["op6_secret_scan"] = oracle.secret_scan()
 
 

@@ -24,16 +24,20 @@ def array_files(spark: SparkSession, path: str) -> list[str]:
     return [row.file for row in heads.filter(F.col("head") == "[").select("file").collect()]
 
 
-def read_places(spark: SparkSession, path: str) -> DataFrame:
+def read_places(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
     """Raw places from JSON lines or from JSON arrays on one line or many, told apart file by file.
 
+    Telling them apart reads the text once more and lists the files; a caller who knows that all files are ``lines`` or
+    ``arrays`` names the ``form``, and nothing is read but the places.
     A malformed line or file is an error, as the loss of its places would go unseen.  ``place_seq`` keeps the read order
     within a file.
     """
-    arrays = array_files(spark, path)
+    if form not in (None, "lines", "arrays"):
+        raise ValueError(f"unknown form {form!r}; use 'lines' or 'arrays'")
+    arrays = array_files(spark, path) if form is None else []
     reader = spark.read.schema(schemas.RAW_PLACES_TEXT).option("mode", "FAILFAST")
     if not arrays:
-        places = reader.json(path)
+        places = reader.option("multiLine", form == "arrays").json(path)
     else:
         listed = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct().collect()
         lines = [row.file for row in listed if row.file not in set(arrays)]

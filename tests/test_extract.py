@@ -134,3 +134,21 @@ def test_rounding_is_half_even(spark):
     df = spark.createDataFrame([(0.25,), (0.35,), (2.5,), (-0.04,), (66.665,)], "x double")
     got = [str(r.v) for r in df.select(half_even(F.col("x"), 1).alias("v")).collect()]
     assert got == ["0.2", "0.4", "2.5", "0.0", "66.7"]
+
+
+def test_places_of_a_named_form(spark, tmp_path):
+    from opinara.sources import readers
+
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "arrays").mkdir()
+    (tmp_path / "lines" / "a.json").write_text('{"title": "x", "review_count": 3}\n{"title": "y", "user_reviews": [{"text": "t"}]}\n')
+    (tmp_path / "arrays" / "b.json").write_text('[\n {"title": "x",\n  "review_count": 3},\n {"title": "y", "user_reviews": [{"text": "t"}]}]\n')
+    columns = ("title", "review_count", "user_reviews")
+    for form in ("lines", "arrays"):
+        named = readers.read_places(spark, str(tmp_path / form), form).select(*columns)
+        found = readers.read_places(spark, str(tmp_path / form)).select(*columns)
+        rows = sorted(map(tuple, named.collect()))
+        assert rows == sorted(map(tuple, found.collect()))
+        assert [row[:2] for row in rows] == [("x", 3), ("y", None)] and "t" in rows[1][2]
+    with pytest.raises(ValueError, match="unknown form"):
+        readers.read_places(spark, str(tmp_path), "csv")

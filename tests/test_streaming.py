@@ -279,3 +279,21 @@ def test_one_ingest_from_places_to_history_and_state(spark, tmp_path, monkeypatc
     # A lost checkpoint under another run replays everything and adds nothing.
     ingest_all("r2")
     assert history.read_history(spark, sink).count() == held
+
+
+def test_queries_are_distinct_without_comparing_them_all(spark):
+    areas = spark.createDataFrame([("X",), ("X",), ("Y",), (None,), (None,)], "area string")
+    centres = spark.createDataFrame([("1,2",), ("1,2",), (None,)], "centre string")
+    made = collection.max_coverage_queries(areas, ["k", "m", "k"], centres, "clinic")
+    assert sorted(str(r.query) for r in made.collect()) == [
+        "None", "clinic @1,2,14z", "k", "k in X", "k in Y", "m", "m in X", "m in Y"]
+    # Areas are compared, not queries: what is grouped lies below what multiplies.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate [area")
+    # Keywords that begin like another's query, or like a geo-targeted one, still give each query once.
+    clashing = spark.createDataFrame([("X",), ("b in X",)], "area string")
+    assert sorted(r.query for r in collection.area_queries(clashing, ["a", "a in b"]).collect()) == [
+        "a in X", "a in b in X", "a in b in b in X"]
+    geo = spark.createDataFrame([("1 in Z",)], "centre string")
+    same = spark.createDataFrame([("Z,14z",)], "area string")
+    assert [r.query for r in collection.max_coverage_queries(same, ["clinic @1"], geo, "clinic").collect()] == ["clinic @1 in Z,14z"]

@@ -80,24 +80,24 @@ def _review_phrases(
 
     Phrase and review vectors are sums of word vectors, hence whole numbers: products are exact in any order.
     """
-    phrases = sorted({tuple(words[i:i + n]) for n in sizes for i in range(len(words) - n + 1)}, key=" ".join)
+    phrases = sorted({phrase for n in sizes for phrase in zip(*(words[i:] for i in range(n)))}, key=" ".join)
     if not phrases:
         return [], np.zeros(0)
-    about = np.zeros(len(zero))
-    for word in words:
-        about += vectors.get(word, zero)
+    index = {word: i for i, word in enumerate(dict.fromkeys(words))}
+    table = np.stack([vectors.get(word, zero) for word in index])
+    about = np.bincount([index[word] for word in words]) @ table.astype(float)
     matrix = np.zeros((len(phrases), len(zero)), np.int16)
-    for row, phrase in zip(matrix, phrases):
-        for word in phrase:
-            row += vectors.get(word, zero)
+    for n in dict.fromkeys(sizes):
+        at = [i for i, phrase in enumerate(phrases) if len(phrase) == n]
+        for k in range(n):
+            matrix[at] += table[[index[phrases[i][k]] for i in at]]
+    parts = [matrix[start:start + CHUNK] for start in range(0, len(phrases), CHUNK)]
+    lengths = np.concatenate([np.sqrt((part.astype(float) ** 2).sum(1)) for part in parts])
 
     def cosine(vector: np.ndarray) -> np.ndarray:
-        size, out = np.sqrt(vector @ vector), np.zeros(len(phrases))
-        for start in range(0, len(phrases), CHUNK):
-            part = matrix[start:start + CHUNK].astype(float)
-            scale = np.sqrt((part * part).sum(1)) * size
-            np.divide(part @ vector, scale, out=out[start:start + CHUNK], where=scale > 0)
-        return out
+        scale, out = lengths * np.sqrt(vector @ vector), np.zeros(len(phrases))
+        products = np.concatenate([part.astype(float) @ vector for part in parts])
+        return np.divide(products, scale, out=out, where=scale > 0)
 
     relevance = cosine(about)
     chosen = _greedy(relevance, lambda i: cosine(matrix[i].astype(float)), top_n, diversity)

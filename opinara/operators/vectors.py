@@ -6,10 +6,17 @@ All sums are whole numbers, so a vector does not depend on the order in which pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinara.functions.chunks import chunks, coded
 from opinara.functions.text import with_computed
+from opinara.session import scratch_path
 
 #: Signed places of a word: eight hexadecimal digits of its digest each.
 MARKS = 4
@@ -17,10 +24,46 @@ MARKS = 4
 LARGEST = 127
 
 
-def _marks(word: Column, dims: int) -> list[Column]:
-    digest = F.md5(word)
-    numbers = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(MARKS)]
-    return [F.struct((F.shiftright(n, 1) % dims).cast("int").alias("dim"), (1 - 2 * (n % 2)).alias("sign")) for n in numbers]
+#: Words of a chunk: its sums are one row of dims + 1 numbers for each distinct word.
+CHUNK_WORDS = 1 << 18
+
+
+def _marks(words: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of the words, ``MARKS`` each."""
+    digests = b"".join(md5(word.encode()).digest() for word in words.to_pylist())
+    numbers = np.frombuffer(digests, ">u4").reshape(-1, 4)[:, :MARKS].astype(np.int64)
+    return (numbers >> 1) % dims, 1 - 2 * (numbers % 2)
+
+
+def neighbour_sums(word_table: DataFrame, dims: int, window: int) -> DataFrame:
+    """(word, sums): the summed marks of the neighbours of a word in one chunk of reviews, and last their number."""
+    if window < 1:
+        raise ValueError("window must be at least 1")
+    width = dims + 1
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, lengths in chunks(batch, "words", CHUNK_WORDS):
+                codes, words = coded(part["words"].flatten())
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                places, signs = _marks(words, dims)
+                sums, met = np.zeros(len(words) * width), np.zeros(len(words), bool)
+                for distance in range(1, window + 1):
+                    near = (row[distance:] == row[:-distance]) & (codes[distance:] >= 0) & (codes[:-distance] >= 0)
+                    left, right = codes[:-distance][near], codes[distance:][near]
+                    for word, other in ((left, right), (right, left)):
+                        met[word] = True
+                        at = word * width
+                        sums += np.bincount(at + dims, minlength=len(sums))
+                        for mark in range(MARKS):
+                            sums += np.bincount(at + places[other, mark], signs[other, mark], minlength=len(sums))
+                found = np.flatnonzero(met)
+                cells = sums.reshape(-1, width)[found].astype(np.int64).ravel()
+                ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * width)
+                yield pa.RecordBatch.from_arrays(
+                    [words.take(pa.array(found)), pa.ListArray.from_arrays(ends, pa.array(cells))], names=["word", "sums"])
+
+    return word_table.select("words").mapInArrow(add, "word string, sums array<long>")
 
 
 def neighbour_counts(word_table: DataFrame, window: int = 2) -> DataFrame:
@@ -39,30 +82,20 @@ def word_vectors(word_table: DataFrame, *, dims: int = 64, window: int = 2) -> D
     """(word, vector): ``dims`` whole numbers from -127 to 127 for each word that has a neighbour in ``words``.
 
     A component is the marks of the word's neighbours less the share that a word of this frequency has by chance, scaled
-    so that the largest is 127.  Pairs are counted before marks are made, and cells (word, dimension) are summed before a
-    word's cells meet, so a frequent word is ``dims`` cells and no task holds its occurrences.  A word alone in its reviews
+    so that the largest is 127.  Each chunk of reviews sums the marks of a word's neighbours, so a frequent word is one row of
+    ``dims`` numbers for each chunk and no task holds its occurrences.  A word alone in its reviews
     has no vector; one whose neighbours are as chance has them is all zeros.
     """
-    pairs = neighbour_counts(word_table, window)
-    one = F.struct(F.lit(-1).alias("dim"), F.lit(1).cast("long").alias("sign"))
-    sides = F.array(*[
-        F.struct(F.col(word).alias("word"), F.array(*_marks(F.col(other), dims), one).alias("marks"))
-        for word, other in (("left", "right"), ("right", "left"))])
-    marked = pairs.select("n", F.inline(sides)).select("word", "n", F.inline("marks"))
-    # Dimension -1 counts the neighbours themselves.
-    cells = marked.groupBy("word", "dim").agg(F.sum(F.col("n") * F.col("sign")).alias("value"))
-    totals = cells.groupBy("dim").agg(F.sum("value").alias("value"))
-
-    def by_dimension(cell_table: DataFrame, *keys: str) -> DataFrame:
-        """Per key the values in order of dimension, from 0, and the count; at most dims + 1 cells a key."""
-        entries = F.map_from_entries(F.collect_list(F.struct("dim", "value")))
-        return cell_table.groupBy(*keys).agg(entries.alias("cells")).select(
-            *keys, F.element_at("cells", F.lit(-1)).cast("double").alias("count"),
-            F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(
-                F.element_at("cells", d), F.lit(0)).cast("double")).alias("values"))
-
-    every = by_dimension(totals).select(F.struct("count", "values")).scalar()
-    rows = with_computed(by_dimension(cells, "word"), every=every)
+    spark = word_table.sparkSession
+    parts = [F.sum(F.get("sums", F.lit(d))).alias(f"d{d}") for d in range(dims + 1)]
+    stored = scratch_path(spark, "word-sums")
+    neighbour_sums(word_table, dims, window).groupBy("word").agg(*parts).write.parquet(stored)
+    cells = spark.read.parquet(stored)
+    values = F.array(*[F.col(f"d{d}").cast("double") for d in range(dims)])
+    totals = cells.agg(*[F.sum(c).alias(c) for c in cells.columns if c != "word"])
+    every = totals.select(F.struct(F.col(f"d{dims}").cast("double").alias("count"), values.alias("values"))).scalar()
+    rows = with_computed(
+        cells.select("word", F.col(f"d{dims}").cast("double").alias("count"), values.alias("values")), every=every)
     share = F.struct(F.col("count").alias("own"), F.col("every.count").alias("all"))
     rows = with_computed(rows, _columns=F.arrays_zip(
         F.col("values").alias("x"), F.col("every.values").alias("t"), F.array_repeat(share, dims).alias("n")))

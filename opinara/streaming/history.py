@@ -3,7 +3,7 @@
 Reviews lie in buckets by a hash of their place.  All buckets of the table are of one generation, a folder named by its number and
 depth (``2 ** depth`` buckets).  A micro-batch lists and reads only the buckets of its own places, and there only the
 digest column.  When the mean bucket holds more than ``target_rows`` reviews, or files have piled up, ``compact`` rewrites the
-table as the next generation: deeper where it has grown, one file a bucket, sorted by digest.  A generation
+table as the next generation: deeper where it has grown, one file a bucket (a large one is cut), sorted by digest.  A generation
 shows by one rename, after it is complete; a crash before that leaves the old one in use.
 """
 
@@ -23,6 +23,8 @@ from opinara.operators.ranking import keep_first
 TARGET_ROWS = 1_000_000
 #: Mean files of a bucket before they are joined.
 MOST_FILES = 16
+#: Reviews that one task writes.
+FILE_ROWS = 131_072
 _NAME = re.compile(r"generation=(\d{8})-(\d{2})")
 
 
@@ -75,6 +77,11 @@ def held_digests(spark: SparkSession, generation: Generation, buckets: list[int]
     return spark.read.parquet(*paths).select("identity") if paths else None
 
 
+def _dealt(reviews: DataFrame, rows: int) -> DataFrame:
+    """Reviews in order of bucket and digest, at most about ``FILE_ROWS`` a task, however many a bucket or place has."""
+    return reviews.repartitionByRange(max(1, -(-rows // FILE_ROWS)), "bucket", "identity")
+
+
 def merge_batch(batch: DataFrame, sink: str, order_by: list[str], depth: int = 0) -> None:
     """Append the reviews of a micro-batch that the history does not hold yet.
 
@@ -87,14 +94,14 @@ def merge_batch(batch: DataFrame, sink: str, order_by: list[str], depth: int = 0
     generation = current(spark, sink) or Generation(0, depth, f"{sink}/generation=00000000-{depth:02d}")
     kept = with_identity(batch.filter(F.coalesce(not_blank(F.col("review_text")), F.lit(True))), generation.depth)
     fresh = keep_first(kept, ["identity"], order_by)
-    touched = sorted(row.bucket for row in kept.select("bucket").distinct().collect())
-    if not touched:
+    counted = {row.bucket: row["count"] for row in kept.groupBy("bucket").count().collect()}
+    if not counted:
         return
-    held = held_digests(spark, generation, touched)
+    held = held_digests(spark, generation, sorted(counted))
     if held is not None:
         fresh = fresh.join(held, "identity", "left_anti")
-    # One writer for each touched bucket, so a micro-batch adds one file there.
-    fresh.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(generation.path)
+    # A micro-batch adds one file to each touched bucket, or more where that would be more than a task should hold.
+    _dealt(fresh, sum(counted.values())).write.mode("append").partitionBy("bucket").parquet(generation.path)
 
 
 def compact(spark: SparkSession, sink: str, target_rows: int = TARGET_ROWS, most_files: int = MOST_FILES,
@@ -121,7 +128,7 @@ def compact(spark: SparkSession, sink: str, target_rows: int = TARGET_ROWS, most
     number = generation.number + 1
     building = f"{sink}/building-{uuid.uuid4().hex}"
     moved = with_identity(table.drop("identity", "bucket"), depth).dropDuplicates(["identity"])
-    moved.repartition("bucket").sortWithinPartitions("bucket", "identity").write.partitionBy("bucket").parquet(building)
+    _dealt(moved, rows).sortWithinPartitions("bucket", "identity").write.partitionBy("bucket").parquet(building)
     source, files = _files(spark, building)
     target, _ = _files(spark, f"{sink}/generation={number:08d}-{depth:02d}")
     if not files.rename(source, target):

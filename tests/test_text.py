@@ -139,3 +139,13 @@ def test_treebank_examples_and_random_strings(spark):
     kept = spark.createDataFrame([("I don't like the 100 tiny, well-known rooms.",)], "t string").select(
         text.tokens(F.col("t"), ["the"], treebank=True).alias("w")).first().w
     assert kept == ["do", "n't", "like", "tiny", "well-known", "rooms"]
+
+
+def test_cleaning_searches_no_whole_text_for_single_characters(spark):
+    """The long character classes see only what is left of a text without its ASCII characters."""
+    df = spark.createDataFrame([("café ẛ̣ \x1cend ",), ("a\x1db\x1fc",), ("\x1e",)], "review_text string")
+    cleaned = text.with_clean_text(df, "review_text")
+    assert [r.clean_text for r in cleaned.collect()] == ["cafe s end", "a b c", ""]
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    searched = plan.split("RLIKE(")[1:]
+    assert searched and all(s.startswith("regexp_replace(") for s in searched)

@@ -103,3 +103,25 @@ def test_a_full_size_lexicon(spark):
     rows = sentiment.lexicon_sentiment(frame(spark, ["word8 word9", "word5 word6", "x word7498"]), valences).orderBy("review_id").collect()
     # 2.0 and -2.0 are no phrase; the second is one.
     assert [r.sentiment for r in rows] == ["neutral", "positive", "negative"]
+
+
+def test_a_word_is_looked_up_once_however_often_it_occurs(spark):
+    import pyarrow as pa
+
+    from opinara.functions.valence import Valences
+
+    class Counted(Valences):
+        looked_up = 0
+
+        def code(self, word):
+            self.looked_up += 1
+            return super().code(word)
+
+    rules = Counted(VALENCES, {"very": 0.293}, ["not"])
+    texts = pa.array(["not very good", None, "", "GOOD but bad! x"] * 5_000)
+    (totals,) = rules.of_texts(iter([texts]))
+    assert rules.looked_up == 8 and totals.null_count == 5_000 and totals[2].as_py() == 0.0
+    # Rows go through it: no array of structs for each word of a text is made any more.
+    rated = sentiment.lexicon_sentiment(frame(spark, ["not very good", None, "bad?? good!!"]), VALENCES)
+    plan = rated._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip" not in plan and [r.sentiment_score is None for r in rated.orderBy("review_id").collect()] == [False, True, False]

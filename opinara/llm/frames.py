@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from opinara.session import scratch_path
 
 
-def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, label: str, *partition_by: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` below the shared folder and read it back: later reads survive a lost executor."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path, partitionBy=list(partition_by) or None, compression="zstd")
+    df.write.parquet(path, partitionBy=list(partition_by) or None, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,8 +28,8 @@ from opinara.llm.ordering import CELL_ROWS, digits_for, running
 WINDOW, PACKET, END_ID = 2_048, 256, 1
 #: Shares are whole parts of this number; a source's share is at least one part.
 PARTS = 10**7
-#: Words whose ids a Python worker remembers, and the longest (in bytes) that it does.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 48
+#: Words whose ids a Python worker remembers at most, and the longest (in bytes) that it does.
+REMEMBERED, REMEMBERED_LENGTH = 600_000, 48
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]*")
 #: ASCII marks that are neither letters, digits nor the apostrophe, which the pattern treats by what follows.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -47,6 +47,8 @@ class WordIds(dict):
 
     def __init__(self, tokenizer_json: str):
         super().__init__()
+        #: What was remembered before the last turn: full memories are set aside once, not forgotten at once.
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -57,33 +59,43 @@ class WordIds(dict):
         # The packed form of every single id.
         self.packed = [i.tobytes() for i in np.arange(self.tokenizer.get_vocab_size()).astype(self.kind)]
 
-    def _part(self, part: bytes) -> bytes:
+    def _merged(self, part: bytes) -> bytes:
         """Ids of letters in lower case, or of marks: one word of the tokenizer's pattern."""
-        ids = self.get(part)
+        spelled = part.decode() if part.isascii() else part.decode("latin-1").translate(self.alphabet)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(spelled)])
+
+    def _part(self, part: bytes) -> bytes:
+        ids = self.get(part) or self.older.get(part)
         if ids is None:
-            spelled = part.decode() if part.isascii() else part.decode("latin-1").translate(self.alphabet)
-            ids = b"".join([self.packed[t.id] for t in self.model.tokenize(spelled)])
+            ids = self._merged(part)
             self._remember(part, ids)
         return ids
 
     def _remember(self, word: bytes, ids: bytes) -> None:
         if len(word) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
+            if len(self) * 2 >= REMEMBERED:
+                # Words that still occur come back from here; the others are forgotten at the next turn.
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
 
     def __missing__(self, word: bytes) -> bytes:
-        letters = word.rstrip(_MARKS)
-        marks = word[len(letters):]
-        if letters.isalpha():
-            lower = letters.lower()
-        else:
-            text = letters.decode()
-            lower = text.lower().encode() if _LETTERS.fullmatch(text) else None
-        if lower is None:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        else:
-            ids = (self._part(lower) if lower else b"") + (self._part(marks) if marks else b"")
+        ids = self.older.get(word)
+        if ids is None:
+            letters = word.rstrip(_MARKS)
+            if letters.isalpha():
+                lower = letters.lower()
+            else:
+                text = letters.decode()
+                lower = text.lower().encode() if _LETTERS.fullmatch(text) else None
+            if lower is None:
+                ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+            elif lower == word:
+                ids = self._merged(word)
+            else:
+                marks = word[len(letters):]
+                ids = (self._part(lower) if lower else b"") + (self._part(marks) if marks else b"")
         self._remember(word, ids)
         return ids
 
@@ -114,7 +126,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     coded = docs.mapInArrow(run, f"doc_id {kind}, source string, n long, ids binary")
-    return written(coded.withColumn("row", F.monotonically_increasing_id()), "pack-ids")
+    return written(coded.withColumn("row", F.monotonically_increasing_id()), "pack-ids", compression="lz4_raw")
 
 
 #: The round of a packet that ends ``ended`` tokens into its source's queue, in whole numbers throughout.

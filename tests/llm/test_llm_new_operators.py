@@ -300,3 +300,22 @@ def test_periodic_runs_query(spark):
         kept = " ".join(w for i, w in enumerate(words) if i not in dropped)
         assert r["collapsed_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
     assert planted > 10
+
+
+def test_frequent_words_stay_remembered(monkeypatch):
+    """A worker whose memory is full forgets words that no longer occur, not those that do."""
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    with open(WORD_BPE, encoding="utf-8") as file:
+        known = packing.WordIds(file.read())
+    model, asked = known.model, []
+
+    class Model:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    known.model = Model()
+    letters = "abcdefghijklmnopqrst"
+    text = " ".join(f"the x{a}{b}z The," for a in letters for b in letters)
+    assert np.frombuffer(known.encode(text.encode()), known.kind).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert asked.count("the") == 1 and len(asked) == 402

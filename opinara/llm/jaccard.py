@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -310,6 +311,13 @@ def _across(entries: DataFrame) -> DataFrame:
     return entries.drop("held").join(grams, "gram")
 
 
+class Grouped(NamedTuple):
+    """``rows``: doc_id, node, n, root, lowest; ``sets``: node, grams of at least the nodes that link with others."""
+
+    rows: DataFrame
+    sets: DataFrame
+
+
 def components(df: DataFrame, identity: str = "doc_id", text: str = "text", width: int = 4,
                threshold: Threshold = Threshold()) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` for each row of ``df``.
@@ -321,6 +329,12 @@ def components(df: DataFrame, identity: str = "doc_id", text: str = "text", widt
     empty result.
     """
     docs = df.select(named(df, identity).cast("long").alias("doc_id"), named(df, text).cast("string").alias("text"))
+    return grouped(docs, width, threshold).rows.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
+
+
+def grouped(docs: DataFrame, width: int, threshold: Threshold) -> Grouped:
+    """The components of ``docs`` (doc_id, text) with the sets that were searched; ``lowest`` is the smallest id of a component."""
     hot = hot_grams(docs.select("text"), width, threshold)
     rows = written(prefixes(docs, width, threshold, hot), "prefixes")
     members = rows.filter("node IS NOT NULL")
@@ -359,7 +373,7 @@ def components(df: DataFrame, identity: str = "doc_id", text: str = "text", widt
     blocks = routed.select("node", "n", "component").distinct().join(families, "node").withColumnRenamed("root", "block")
     links = written(links.union(_links(blocks, sets, threshold)), "links")
     found = connected(links)
-    grouped = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = grouped.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("lowest"))
-    return grouped.join(lowest.withColumnRenamed("root", "of"), F.col("root") == F.col("of"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
+    rooted = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("lowest"))
+    return Grouped(rooted.join(lowest.withColumnRenamed("root", "of"), F.col("root") == F.col("of"), "left").select(
+        "doc_id", "node", "n", "root", "lowest"), sets)

@@ -68,23 +68,16 @@ def links(df: DataFrame, identity: str = "doc_id", text: str = "text", width: in
     empty table gives empty tables.  A component of many grams costs the square of its chunks, as all of them may link.
     """
     docs = df.select(named(df, identity).cast("long").alias("doc_id"), named(df, text).cast("string").alias("text")).withColumn(
-        "content", F.xxhash64("text"))
-    texts = docs.select(F.col("content").alias("doc_id"), "text")
-    rows = jaccard.prefixes(docs.select("doc_id", "text"), width, threshold, np.zeros(0, np.int64)).select(
-        "doc_id", "node", F.col("n").alias("n_shingles"))
-    members = written(rows, "members")
-    once = written(texts.filter("text IS NOT NULL").dropDuplicates(["doc_id"]), "texts")
-    grouped = jaccard.components(once, width=width, threshold=threshold).select(
-        F.col("doc_id").alias("content"), "component_id")
-    wide = grouped.groupBy("component_id").count().filter("count > 1").select("component_id")
-    linked = written(grouped.join(wide, "component_id").filter("content IS NOT NULL"), "linked")
+        "content", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    once = written(docs.filter("text IS NOT NULL").select(F.col("content").alias("doc_id"), "text").dropDuplicates(["doc_id"]),
+                   "texts")
+    # Sets are built once for each text: rows get theirs by the text's hash, the search takes those of the components.
+    rows, sets = jaccard.grouped(once, width, threshold)
+    rows = written(rows.select(F.col("doc_id").alias("content"), "node", "n", F.col("root").alias("block")), "grouped")
+    members = written(docs.select("doc_id", "content").join(rows, "content", "left").select(
+        "doc_id", "node", F.coalesce("n", F.lit(0)).alias("n_shingles")), "members")
     # Different texts may have equal sets; the search takes one of each.
-    wanted = once.join(linked.withColumnRenamed("content", "doc_id"), "doc_id")
-    keyed = written(jaccard.prefixes(wanted.select("doc_id", "text"), width, threshold, np.zeros(0, np.int64)).select(
-        "doc_id", "node", "n"), "keyed")
-    blocks = keyed.join(linked.withColumnRenamed("content", "doc_id"), "doc_id").filter("node IS NOT NULL").groupBy("node").agg(
-        F.first("n").alias("n"), F.min("component_id").alias("block"))
-    sets = written(jaccard.sets_of(wanted.select("text"), width).dropDuplicates(["node"]), "sets")
+    blocks = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("block").alias("block"))
     pairs = written(_partners(blocks, sets, threshold), "pairs")
     copies = members.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"))
     return Links(members, pairs, copies)

@@ -47,3 +47,18 @@ def test_links_awkward(awkward, empty):  # noqa: F811
     assert Counter(map(tuple, got)) == Counter(want)
     assert links.link_counts(empty).count() == 0
     assert links.links(empty).pairs.count() == 0
+
+
+def test_sets_are_built_once_for_each_text(spark, monkeypatch):
+    built = Counter()
+    for name in ("prefixes", "hot_grams", "sets_of"):
+        def counted(docs, *rest, of=getattr(jaccard, name), name=name):
+            built[name] += 1
+            return of(docs, *rest)
+
+        monkeypatch.setattr(jaccard, name, counted)
+    texts = _families(3) * 2 + [None, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, links.link_counts(df).collect()))
+    assert got == [(i, *c) for i, c in enumerate(_counts(texts))]
+    assert built == {"prefixes": 1, "hot_grams": 1, "sets_of": 1}

@@ -303,6 +303,11 @@ def _rooted(entries: DataFrame, found: DataFrame) -> DataFrame:
     return entries.join(found, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found`` (node, root) as further links join them."""
+    return found if links.isEmpty() else connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
 def _across(entries: DataFrame) -> DataFrame:
     """Entries of the grams that nodes of different components hold, with the number of these nodes."""
     grams = entries.groupBy("gram").agg(
@@ -357,8 +362,8 @@ def grouped(docs: DataFrame, width: int, threshold: Threshold) -> Grouped:
     found = connected(links)
     large = first_blocks.groupBy("block").agg(F.sum("n").alias("block_n")).filter(F.col("block_n") > BLOCK_GRAMS)
     dealt_anew = _rooted(first_blocks.join(large.select("block"), "block"), found)
-    links = written(links.union(_links(dealt_anew, sets, threshold, 2)), "links")
-    known = _across(_rooted(active, connected(links)))
+    found = _joined(found, written(_links(dealt_anew, sets, threshold, 2), "links"))
+    known = _across(_rooted(active, found))
     for _ in range(2):
         known = _across(_with_enough(known, threshold))
     known = written(_with_enough(known, threshold), "meeting")
@@ -371,8 +376,7 @@ def grouped(docs: DataFrame, width: int, threshold: Threshold) -> Grouped:
     firsts = routed.groupBy("gram").agg(F.min("node").alias("a"))
     families = connected(routed.join(firsts, "gram").select("a", F.col("node").alias("b")))
     blocks = routed.select("node", "n", "component").distinct().join(families, "node").withColumnRenamed("root", "block")
-    links = written(links.union(_links(blocks, sets, threshold)), "links")
-    found = connected(links)
+    found = _joined(found, written(_links(blocks, sets, threshold), "links"))
     rooted = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("lowest"))
     return Grouped(rooted.join(lowest.withColumnRenamed("root", "of"), F.col("root") == F.col("of"), "left").select(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import brute
 from opinara.llm import bpe, components, jaccard, langid, licences, lm, mixing, neighbours, quality, secrets, sharding
+from opinara.llm.frames import written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 30_000
@@ -183,6 +184,39 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert all(found[i] == 0 for i in range(61)) and all(found[2000 + i] == 1000 for i in range(300))
 
 
+def test_components_need_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "written", lambda df, label: rounds.append(label) or written(df, label))
+    star = [(1000, 2000 + i) for i in range(300)]
+    found = dict(components.connected(spark.createDataFrame(star, "a long, b long").coalesce(1)).collect())
+    assert found == {1000: 1000} | {2000 + i: 1000 for i in range(300)}
+    assert len(rounds) == 1  # links that are stars in their task need no round, and no other to see it
+    path = [(i, i + 1) for i in range(2000)]
+    rounds.clear()
+    found = dict(components.connected(spark.createDataFrame(path, "a long, b long").repartition(16)).collect())
+    assert found == {i: 0 for i in range(2001)} and len(rounds) <= 5
+
+
+def test_components_whatever_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(components, "HELD", 8)
+    random.seed(11)
+    links = [(random.randrange(-300, 300), random.randrange(-300, 300)) for _ in range(280)]
+    links += [(400, 400), (None, 5), (7, None)] + [(i, 500) for i in range(40)]
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    got = components.connected(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, root(i)) for i in list(parent))
+
+
 # ---- language model -----------------------------------------------------------------------------
 
 def test_lm_base_counts_and_probabilities(spark, awkward):

@@ -77,8 +77,9 @@ def connected(links: DataFrame) -> DataFrame:
     edges = written(_forests(links.select("a", "b").filter("a <> b")), "links")
     while not _are_stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        # Written, as Spark splits a large partition of a join only if both sides are dealt for it.
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(
+            F.col("u").alias("n"), F.least("u", "m").alias("m")), "smallest")
         large = edges.join(low, F.col("v") == F.col("n")).select("u", "m")
         edges = written(_forests(_forests(large).repartition("u").sortWithinPartitions("u")), "links")
     ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")),
